@@ -110,7 +110,7 @@ def _capped(raw: Column, sectors: Column, params: JobParams) -> Column:
         clipped = F.transform(wts, lambda v: F.least(v / total, F.lit(params.max_position_size)))
         pairs = F.arrays_zip(clipped.alias("w"), sectors.alias("s"))
         held = F.transform(pairs, lambda a: _sum(F.transform(
-            F.filter(pairs, lambda b: b["1"] == a["1"]), lambda b: b["0"])))
+            F.filter(pairs, lambda b: b["s"] == a["s"]), lambda b: b["w"])))
         return F.zip_with(clipped, held, lambda v, h: v * F.least(
             F.lit(1.0), params.max_sector_exposure / h))
 

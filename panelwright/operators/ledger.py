@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions import windows as w
+from panelwright.functions import sizing, windows as w
 from panelwright.params import JobParams
 
 TRADE_FLOOR = 1.0
@@ -154,36 +154,48 @@ def _steps(rebalances: DataFrame, policies: DataFrame) -> DataFrame:
     return steps.join(policies, "strategy")
 
 
-def _solve(rows: DataFrame, steps: DataFrame, n_passes: int) -> DataFrame:
-    """Scale, cash, growth and drift factor per (strategy, k)."""
-    fixed = rows.groupBy(*KEY).agg(F.sum("weight").alias("sum_w"), F.sum("drift").alias("sum_d"))
+def _linked(state: DataFrame) -> DataFrame:
+    """Growth since the previous rebalance and the factor turning drift into a share of value."""
     per = Window.partitionBy("strategy").orderBy("k")
-    state = steps.join(fixed, KEY, "left").fillna(0.0, ["sum_w", "sum_d"]).withColumns(
-        {"scale": F.lit(1.0), "cash": 1.0 - F.col("invest_fraction") * F.col("sum_w")})
+    prev_scale, prev_cash = F.lag("scale").over(per), F.lag("cash").over(per)
+    f = F.col("invest_fraction")
+    grown = state.withColumns({
+        "growth": F.coalesce(prev_cash + f * prev_scale * F.col("sum_d"), F.lit(1.0)),
+        "held": F.coalesce(f * prev_scale, F.lit(0.0))})
+    return grown.withColumn("unit", F.coalesce(w.ratio(F.col("held"), F.col("growth")), F.lit(0.0))).drop("held")
+
+
+def _with_sums(state: DataFrame, rows: DataFrame, sums: dict) -> DataFrame:
+    """Add sums over each step's legs to the step itself.
+
+    The step's own columns ride through the aggregate, so a pass reads its
+    predecessor once and the plan grows by one join and one aggregate per pass.
+    Steps without legs keep their row.
+    """
+    own = [c for c in state.columns if c not in KEY]
+    joined = state.join(rows, KEY, "left")
+    return joined.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in own],
+                                    *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in sums.items()])
 
-    def link(s: DataFrame) -> DataFrame:
-        """Growth since the previous rebalance and the factor turning drift into a share of value."""
-        prev_scale, prev_cash = F.lag("scale").over(per), F.lag("cash").over(per)
-        f = F.col("invest_fraction")
-        s = s.withColumn("growth", F.coalesce(prev_cash + f * prev_scale * F.col("sum_d"), F.lit(1.0)))
-        return s.withColumn("unit", F.coalesce(w.ratio(f * prev_scale, F.col("growth")), F.lit(0.0)))
 
+def _solve(rows: DataFrame, steps: DataFrame, n_passes: int) -> DataFrame:
+    """Scale, cash, growth and drift factor per (strategy, k)."""
+    state = _with_sums(steps, rows, {"sum_w": F.sum("weight"), "sum_d": F.sum("drift")})
+    state = state.withColumns({
+        "scale": F.lit(1.0), "cash": 1.0 - F.col("invest_fraction") * F.col("sum_w")})
+    goal = F.col("invest_fraction") * F.col("weight")
+    have = F.col("unit") * F.col("drift")
     for _ in range(n_passes):
-        linked = link(state)
-        goal = F.col("invest_fraction") * F.col("weight")
-        have = F.col("unit") * F.col("drift")
-        terms = linked.select(*KEY, "invest_fraction", "unit", "scale")
-        traded = rows.join(terms, KEY).groupBy(*KEY).agg(
-            F.sum(F.abs(goal - have)).alias("est"), F.sum(F.abs(goal * F.col("scale") - have)).alias("traded"))
-        rate = F.col("cost_rate")
-        after = linked.drop("scale", "cash", "growth", "unit").join(traded, KEY, "left") \
-            .fillna(0.0, ["est", "traded"])
-        scale = 1.0 - rate * F.col("est")
-        state = after.select(
-            *[c for c in after.columns if c not in ("est", "traded")], scale.alias("scale"),
-            F.greatest(F.lit(0.0), 1.0 - rate * F.col("traded")
-                       - F.col("invest_fraction") * scale * F.col("sum_w")).alias("cash"))
-    return link(state)
+        summed = _with_sums(_linked(state), rows, {
+            "est": F.sum(F.abs(goal - have)), "traded": F.sum(F.abs(goal * F.col("scale") - have))})
+        scale = 1.0 - F.col("cost_rate") * F.col("est")
+        cash = F.greatest(F.lit(0.0), 1.0 - F.col("cost_rate") * F.col("traded")
+                          - F.col("invest_fraction") * scale * F.col("sum_w"))
+        keep = [c for c in state.columns if c not in ("scale", "cash")]
+        # Checkpointed so each pass is planned on its own instead of as part
+        # of one ever longer plan; the state is one row per (strategy, k).
+        state = sizing.cut(summed.select(*keep, scale.alias("scale"), cash.alias("cash")))
+    return _linked(state)
 
 
 def roll_forward(closes: DataFrame, schedule: DataFrame, rebalances: DataFrame,
@@ -193,25 +205,23 @@ def roll_forward(closes: DataFrame, schedule: DataFrame, rebalances: DataFrame,
     ``rebalances`` carries ``strategy, k, date, end_date``. ``value`` is net of
     the cost paid on that date, so the first value is already after entry cost.
     """
-    rows = legs(closes, schedule, rebalances).persist()
-    steps = _steps(rebalances, policies)
+    rows = sizing.cut(legs(closes, schedule, rebalances))
+    steps = sizing.cut(_steps(rebalances, policies))
     solved = _solve(rows, steps, passes_for(max_cost_rate))
     per = Window.partitionBy("strategy").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     valued = solved.withColumn("gross_value", F.col("capital") * F.product("growth").over(per))
     goal = F.col("invest_fraction") * F.col("weight") * F.col("scale")
     move = F.abs(goal - F.col("unit") * F.col("drift"))
-    book = rows.join(valued.select(*KEY, "invest_fraction", "scale", "unit", "gross_value"), KEY).groupBy(
-        *KEY).agg(F.sum(move).alias("turnover"),
-                  F.sum(F.when(goal > 0, 1).otherwise(0)).alias("n_positions"),
-                  F.sum(F.when(move * F.col("gross_value") > TRADE_FLOOR, 1).otherwise(0)).alias("n_trades"))
-    out = valued.join(book, KEY, "left").fillna(0, ["turnover", "n_positions", "n_trades"])
+    out = _with_sums(valued, rows, {
+        "turnover": F.sum(move), "n_positions": F.sum(F.when(goal > 0, 1).otherwise(0)),
+        "n_trades": F.sum(F.when(move * F.col("gross_value") > TRADE_FLOOR, 1).otherwise(0))})
     live = ~F.col("is_end")
     cost = F.when(live, F.col("gross_value") * F.col("turnover") * F.col("cost_rate")).otherwise(0.0)
     return out.select(
         "strategy", "k", "date", "is_end", (F.col("gross_value") - cost).alias("value"),
         cost.alias("cost"), F.when(live, F.col("turnover")).alias("turnover"),
-        F.when(live, F.col("n_positions")).alias("n_positions"),
-        F.when(live, F.col("n_trades")).alias("n_trades"))
+        F.when(live, F.col("n_positions").cast("long")).alias("n_positions"),
+        F.when(live, F.col("n_trades").cast("long")).alias("n_trades"))
 
 
 # ----------------------------------------------------------------- metrics

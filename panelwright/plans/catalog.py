@@ -615,10 +615,10 @@ def _(s: Stage) -> DataFrame:
     return s.schedule.select("strategy", "k", "ticker", r("weight"))
 
 
-@query("ledger", LEDGER, """SELECT strategy, k, date, round(value, 2) AS value, round(cost, 2) AS cost, round(turnover, 6) AS turnover,
+@query("ledger", LEDGER, """SELECT strategy, k, date, round(value, 2) AS value, round(cost, 2) AS cost, round(turnover, 8) AS turnover,
     n_positions, n_trades FROM book""")
 def _(s: Stage) -> DataFrame:
-    return s.ledger.select("strategy", "k", "date", r("value", 2), r("cost", 2), r("turnover"), "n_positions", "n_trades")
+    return s.ledger.select("strategy", "k", "date", r("value", 2), r("cost", 2), r("turnover", 8), "n_positions", "n_trades")
 
 
 @query("period_returns", PERF, "SELECT strategy, date, round(ret, 6) AS period_return FROM path WHERE ret IS NOT NULL")

@@ -193,14 +193,14 @@ def tier(er: str, low: str, conf: str, std: str) -> str:
 
 def as_ofs() -> list[str]:
     """Last bar day of every calendar year."""
-    return ["asof AS MATERIALIZED (SELECT max(date) AS as_of FROM bars GROUP BY year(date))"]
+    return ["asofs AS MATERIALIZED (SELECT max(date) AS as_of FROM bars GROUP BY year(date))"]
 
 
 def latest() -> list[str]:
     cols = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
     return [f"""latest AS MATERIALIZED (SELECT * EXCLUDE rn FROM (SELECT as_of, ticker, date, row_no, {cols},
         row_number() OVER (PARTITION BY as_of, ticker ORDER BY date DESC) AS rn
-        FROM feats JOIN asof ON feats.date <= asof.as_of) WHERE rn = 1 AND row_no > 100)""",
+        FROM feats JOIN asofs ON feats.date <= asofs.as_of) WHERE rn = 1 AND row_no > 100)""",
             f"""latest_z AS MATERIALIZED (SELECT as_of, ticker, date, row_no,
         {', '.join(_z(f, 'as_of') for f in FEATURES)} FROM latest)"""]
 
