@@ -54,6 +54,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` (several uses, one computation)."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def finite(x: Column) -> Column:
     """NULL in place of NaN and of both infinities."""
     # NaN sorts above infinity, so one comparison rejects all three.

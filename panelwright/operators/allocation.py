@@ -72,8 +72,8 @@ def covariance(problem: DataFrame) -> DataFrame:
     Ledoit and Wolf (2004) on centred returns.
     """
     m = F.col("m")
-    centred = problem.withColumn("x", F.transform("r", lambda xs: F.transform(
-        xs, lambda v: v - _sum(xs) / F.size(xs))))
+    centred = problem.withColumn("x", F.transform("r", lambda xs: w.let(
+        _sum(xs) / F.size(xs), lambda mean: F.transform(xs, lambda v: v - mean))))
     p = F.size("c")
     short = m < p + SPARE_ROWS
     s = F.transform("x", lambda a: F.transform(F.col("x"), lambda b: _dot(a, b) / m))
@@ -105,18 +105,20 @@ def covariance_rows(cov: DataFrame) -> DataFrame:
 
 def _capped(raw: Column, sectors: Column, params: JobParams) -> Column:
     """Fixed rounds of: scale to one, clip each position, scale down full sectors."""
-    def step(wts: Column) -> Column:
-        total = _sum(wts)
-        clipped = F.transform(wts, lambda v: F.least(v / total, F.lit(params.max_position_size)))
-        pairs = F.arrays_zip(clipped.alias("w"), sectors.alias("s"))
-        held = F.transform(pairs, lambda a: _sum(F.transform(
-            F.filter(pairs, lambda b: b["s"] == a["s"]), lambda b: b["w"])))
-        return F.zip_with(clipped, held, lambda v, h: v * F.least(
-            F.lit(1.0), params.max_sector_exposure / h))
+    cap, room = F.lit(params.max_position_size), F.lit(params.max_sector_exposure)
+
+    def clip(wts: Column) -> Column:
+        return w.let(_sum(wts), lambda total: F.transform(wts, lambda v: F.least(v / total, cap)))
+
+    def relieve(clipped: Column) -> Column:
+        def scale(pairs: Column) -> Column:
+            return F.transform(pairs, lambda a: a["w"] * F.least(F.lit(1.0), room / F.aggregate(
+                pairs, F.lit(0.0), lambda acc, b: acc + F.when(b["s"] == a["s"], b["w"]).otherwise(0.0))))
+        return w.let(F.zip_with(clipped, sectors, lambda v, k: F.struct(v.alias("w"), k.alias("s"))), scale)
 
     rounds = F.sequence(F.lit(1), F.lit(CAP_ROUNDS))
-    done = F.aggregate(rounds, raw, lambda acc, _: step(acc))
-    return F.transform(done, lambda v: v / _sum(done))
+    done = F.aggregate(rounds, raw, lambda acc, _: w.let(clip(acc), relieve))
+    return w.let(done, lambda d: w.let(_sum(d), lambda total: F.transform(d, lambda v: v / total)))
 
 
 def optimise(cov: DataFrame, params: JobParams = JobParams()) -> DataFrame:
@@ -146,6 +148,7 @@ def optimise(cov: DataFrame, params: JobParams = JobParams()) -> DataFrame:
     raw = F.transform("c", lambda x: F.pow(x["expected_return"], F.col("rule.g"))
                       / F.pow(F.greatest(x["volatility"], F.lit(VOL_FLOOR)), F.col("rule.d")))
     tried = tried.withColumn("w", F.when(F.col("feasible"), _capped(raw, sector, params)).otherwise(uniform))
+    # Materialise the weights before they are used several times below.
     variance = _dot(F.col("w"), F.transform("annual", lambda row: _dot(row, F.col("w"))))
     sharpe = (_dot(F.col("w"), er) - params.risk_free_rate) / F.sqrt(F.greatest(variance, F.lit(1e-10)))
     best = tried.withColumn("sharpe", sharpe).groupBy("as_of").agg(
@@ -155,7 +158,8 @@ def optimise(cov: DataFrame, params: JobParams = JobParams()) -> DataFrame:
     kept = F.transform(F.col("b.w"), lambda v: F.when(v < low, 0.0).otherwise(v))
     out = best.select("as_of", "b.c", kept.alias("w"), "b.rule", "b.sharpe", "b.feasible")
     total = _sum(F.col("w"))
-    out = out.withColumn("w", F.when(total > 0, F.transform("w", lambda v: v / total)).otherwise(F.col("w")))
+    out = out.withColumn("w", w.let(total, lambda t: F.when(
+        t > 0, F.transform(F.col("w"), lambda v: v / t)).otherwise(F.col("w"))))
     rows = out.select("as_of", "rule", "sharpe", "feasible",
                       F.explode(F.arrays_zip("c", "w")).alias("z"))
     return rows.select("as_of", F.col("z.c.ticker").alias("ticker"), F.col("z.w").alias("weight"),

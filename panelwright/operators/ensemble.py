@@ -16,7 +16,7 @@ from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor,
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.functions import sizing
+from panelwright.functions import sizing, windows as w
 from panelwright.operators.features import FEATURES
 from panelwright.params import JobParams
 
@@ -94,20 +94,23 @@ def tree_votes(rows: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
 def vote_std(votes: Column) -> Column:
     """Population deviation over an array of votes."""
     n = F.size(votes)
-    mean = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / n
-    square = F.aggregate(F.transform(votes, lambda v: (v - mean) * (v - mean)),
-                         F.lit(0.0), lambda a, v: a + v)
+    total = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v)
+    square = w.let(total / n, lambda mean: F.aggregate(
+        votes, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)))
     return F.sqrt(square / n)
 
 
 def vote_percentile(votes: Column, pct: float) -> Column:
     """Percentile of an array with linear interpolation between order statistics."""
-    ordered = F.array_sort(votes)
     at = (F.size(votes) - 1) * F.lit(pct / 100.0)
     low = F.floor(at).cast("int")
-    a = F.get(ordered, low)
-    b = F.get(ordered, F.least(low + 1, F.size(votes) - 1))
-    return a + (b - a) * (at - low)
+
+    def between(ordered: Column) -> Column:
+        a = F.get(ordered, low)
+        b = F.get(ordered, F.least(low + 1, F.size(votes) - 1))
+        return a + (b - a) * (at - low)
+
+    return w.let(F.array_sort(votes), between)
 
 
 def out_of_fold(panel: DataFrame, roles: DataFrame, params: JobParams) -> DataFrame:

@@ -17,10 +17,13 @@ from panelwright.operators import (allocation, audit, ensemble, falsify, feature
                                    integrity, ledger, panel as pn, scoring, signals as sg)
 from panelwright.operators.features import FEATURES
 from panelwright.params import JobParams, small_model
-from panelwright.plans import oracle as o, report
+from panelwright.plans import oracle as o, report, research
 from panelwright.sources import bars as bs, snapshots as sn, universe as un
 
 P = JobParams()
+# Few small trees: the queries show the operators, not a tuned model.
+MODEL = small_model(n_folds=2, rf_trees=8, rf_depth=4, gb_rounds=2)
+WALK = MODEL.with_(rebalance_every=420, retrain_every=840, min_expected_return=0.0, backtest_min_return=0.0)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -131,6 +134,17 @@ class Stage:
     def weights(self) -> DataFrame:
         return allocation.optimise(self.covariance, P).persist()
 
+    # ------------------------------------------------------------ models
+    @cached_property
+    def model(self) -> research.StackedModel:
+        return research.fit(self.z, MODEL)
+
+    @cached_property
+    def falsification(self) -> DataFrame:
+        lagged = pn.normalise(pn.build_panel(ft.lag_features(self.features, 1, P)).persist(), "date",
+                              span=self.span).persist()
+        return research.falsification(self.z, lagged, MODEL).persist()
+
     # ------------------------------------------------------------ ledger
     @cached_property
     def calendar(self) -> DataFrame:
@@ -831,3 +845,65 @@ BENCH_COLS = ["cagr", "total_return", "sharpe_ratio", "max_drawdown", "active_ca
 @query("benchmark_summary", PERF, f"SELECT strategy, {sr(BENCH_COLS)}, CAST(NULL AS VARCHAR) AS error FROM perf WHERE strategy <> 'strategy'")
 def _(s: Stage) -> DataFrame:
     return report.benchmark_summary(s.performance).select("strategy", *rs(BENCH_COLS), "error")
+
+
+# --------------------------------------------- fitted models (rows-only checks)
+@query("model_oof")
+def _(s: Stage) -> DataFrame:
+    return s.model.oof.select("date", "ticker", "fold", "rf", "gb", "tree_std", "y", "pred", "confidence")
+
+
+@query("model_stack")
+def _(s: Stage) -> DataFrame:
+    return s.model.ridge.join(s.model.calibration, "model")
+
+
+@query("model_predictions")
+def _(s: Stage) -> DataFrame:
+    return s.model.score(s.latest_z, MODEL)
+
+
+@query("model_signals_nested")
+def _(s: Stage) -> DataFrame:
+    return sg.nested(sg.signals(s.model.score(s.latest_z, MODEL), s.latest, s.info, P))
+
+
+@query("model_importances")
+def _(s: Stage) -> DataFrame:
+    return report.top_importances(ensemble.importances(s.model.base))
+
+
+@query("model_tier_table")
+def _(s: Stage) -> DataFrame:
+    rows = s.model.oof.join(F.broadcast(s.model.calibration.select("model", "residual_std")), "model")
+    return audit.tier_table(audit.tiered(rows, P))
+
+
+@query("model_falsification")
+def _(s: Stage) -> DataFrame:
+    return s.falsification
+
+
+@query("model_integrity_report")
+def _(s: Stage) -> DataFrame:
+    return integrity.report(
+        s.spark, changes=integrity.lookahead_changes(s.bars(), P), feats=s.features, summary=s.model.summary,
+        perf=s.performance, r2=s.falsification, params=MODEL)
+
+
+@query("model_walk_forward")
+def _(s: Stage) -> DataFrame:
+    """Schedule of refitted models over the common dates of the regions."""
+    daily = s.bars("region")
+    feats = ft.features(daily, P).persist()
+    rebal = ledger.rebalance_dates(s.calendar, WALK)
+    return research.walk_forward(feats, daily, bs.instruments(s.spark, s.sf_dir, "region", daily), rebal, WALK, s.span)
+
+
+@query("run_record")
+def _(s: Stage) -> DataFrame:
+    checks = _checks(s, True).persist()
+    table = audit.tier_table(_tiers(s))
+    return report.run_record(
+        s.spark, P, universe=un.capped(s.bars().select("ticker").distinct().select(F.col("ticker").alias("ord"), "ticker"), P),
+        checks=checks, gate_row=integrity.gate(checks), perf=s.performance, tiers=table, verdict=audit.verdict(table))
