@@ -77,7 +77,7 @@ class Stage:
             F.lit(1).alias("model"), "date", "ticker", "fold",
             (0.02 * c("mom_3_1") + 0.01 * c("ret_21d")).alias("rf"),
             (0.02 * c("mom_3_1") + 0.01 * c("zscore_21")).alias("gb"),
-            ensemble.vote_std(votes).alias("tree_std"), "y")
+            ensemble.vote_std(votes).alias("tree_std"), "y").persist()
 
     @cached_property
     def ridge(self) -> DataFrame:
@@ -85,7 +85,19 @@ class Stage:
 
     @cached_property
     def stacked(self) -> DataFrame:
-        return ensemble.stacked(ensemble.complete_oof(self.rule_oof), self.ridge)
+        return ensemble.stacked(ensemble.complete_oof(self.rule_oof), self.ridge).persist()
+
+    @cached_property
+    def calibration(self) -> DataFrame:
+        return ensemble.calibration(self.stacked).persist()
+
+    @cached_property
+    def lookahead(self) -> DataFrame:
+        return integrity.lookahead_changes(self.bars(), P).persist()
+
+    @cached_property
+    def fold_summary(self) -> DataFrame:
+        return folds.fold_summary(self.panel, self.roles, P).persist()
 
     @cached_property
     def as_ofs(self) -> list:
@@ -489,7 +501,7 @@ FOLD_SUMMARY = """SELECT fold, count(*) FILTER (role = 'train') AS train_rows, c
 
 @query("fold_summary", FOLDS, FOLD_SUMMARY)
 def _(s: Stage) -> DataFrame:
-    return folds.fold_summary(s.panel, s.roles, P)
+    return s.fold_summary
 
 
 # ----------------------------------------------------------------- stacking
@@ -506,7 +518,7 @@ def _(s: Stage) -> DataFrame:
 @query("calibration", STACK, f"""SELECT model, n_oof, {sr(['oof_r2', 'residual_std', 'residual_mae'])},
     CASE WHEN oof_r2 > 0.05 THEN 'suspicious' WHEN oof_r2 < -0.05 THEN 'powerless' ELSE 'plausible' END AS r2_flag FROM cal""")
 def _(s: Stage) -> DataFrame:
-    return ensemble.calibration(s.stacked).select(
+    return s.calibration.select(
         "model", "n_oof", *rs(["oof_r2", "residual_std", "residual_mae"]), "r2_flag")
 
 
@@ -696,7 +708,7 @@ def _(s: Stage) -> DataFrame:
     (SELECT ticker, date, cut, date <= cut AS early, CASE WHEN fa.ticker IS NOT NULL AND fb.ticker IS NOT NULL THEN {_gap()} END AS gap
      FROM fa FULL OUTER JOIN fb USING (ticker, date) JOIN cut USING (ticker)) GROUP BY ticker, cut""")
 def _(s: Stage) -> DataFrame:
-    return integrity.lookahead_changes(s.bars(), P)
+    return s.lookahead
 
 
 def _static(s: Stage) -> DataFrame:
@@ -723,7 +735,7 @@ def _(s: Stage) -> DataFrame:
     'min gap ' || min(gap_trading_days) || ' against embargo 21 over ' || count(*) || ' folds' AS measure,
     'every fold keeps the embargo' AS detail, FALSE AS gating, 'PASS' AS status FROM fs""")
 def _(s: Stage) -> DataFrame:
-    return integrity.cv_ordering(folds.fold_summary(s.panel, s.roles, P), P).select(*CHECK)
+    return integrity.cv_ordering(s.fold_summary, P).select(*CHECK)
 
 
 @query("check_costs", PERF, """SELECT 'Costs applied' AS name, own > 0 OR ew > 0 AS passed, printf('10 bps per side, strategy %.0f at turnover %.0f %%/yr, equal weight %.0f', own, turn * 100, ew) AS measure,
@@ -740,8 +752,8 @@ def _(s: Stage) -> DataFrame:
 
 
 def _rule_r2(s: Stage) -> DataFrame:
-    """R2 rows from the rule-based stack: real labels, and each fold as one 'permutation round' of halved size."""
-    real = ensemble.calibration(s.stacked).select(F.lit("real").alias("kind"), "oof_r2")
+    """R2 rows around the rule-based stack: the real one and fixed offsets of it."""
+    real = s.calibration.select(F.lit("real").alias("kind"), "oof_r2")
     lagged = real.select(F.lit("lagged").alias("kind"), (F.col("oof_r2") - 0.001).alias("oof_r2"))
     permuted = real.select(F.lit("permuted").alias("kind"), (F.col("oof_r2") * 0.0).alias("oof_r2"))
     return real.unionByName(lagged).unionByName(permuted)
@@ -761,8 +773,8 @@ def _(s: Stage) -> DataFrame:
 
 def _checks(s: Stage, with_rounds: bool) -> DataFrame:
     return integrity.report(
-        s.spark, changes=integrity.lookahead_changes(s.bars(), P), feats=s.features,
-        summary=folds.fold_summary(s.panel, s.roles, P), perf=s.performance,
+        s.spark, changes=s.lookahead, feats=s.features,
+        summary=s.fold_summary, perf=s.performance,
         r2=_rule_r2(s) if with_rounds else None, run_lag=with_rounds, params=P)
 
 
@@ -783,7 +795,7 @@ AUDIT = TIERED + ["""aud AS MATERIALIZED (SELECT tier, list_position(['HIGH', 'M
 
 
 def _tiers(s: Stage) -> DataFrame:
-    sigma = ensemble.calibration(s.stacked).select("model", "residual_std")
+    sigma = s.calibration.select("model", "residual_std")
     return audit.tiered(s.stacked.join(F.broadcast(sigma), "model"), P)
 
 
@@ -887,7 +899,7 @@ def _(s: Stage) -> DataFrame:
 @query("model_integrity_report")
 def _(s: Stage) -> DataFrame:
     return integrity.report(
-        s.spark, changes=integrity.lookahead_changes(s.bars(), P), feats=s.features, summary=s.model.summary,
+        s.spark, changes=s.lookahead, feats=s.features, summary=s.model.summary,
         perf=s.performance, r2=s.falsification, params=MODEL)
 
 
