@@ -13,8 +13,7 @@ from pyspark.sql import SparkSession
 
 from panelwright.plans import catalog
 
-HEADLINE = ["bars_supplier", "features_trend", "features_moments", "features_complete", "panel_zscore",
-            "fold_summary", "permuted_labels", "ledger"]
+HEADLINE = ["bars_supplier", "labels_forward", "features_momentum", "features_complete", "panel_zscore"]
 
 
 def main() -> None:
