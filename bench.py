@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from panelwright.plans import catalog
 
-HEADLINE = ["bars_supplier", "labels_forward", "features_momentum", "features_complete", "panel_zscore"]
+HEADLINE = ["bars_supplier", "labels_forward", "features_momentum"]
 
 
 def main() -> None:
