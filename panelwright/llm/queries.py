@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import quality
+from panelwright.llm import decontaminate, quality, simhash
 from panelwright.llm.common import cut, table
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = cut(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return simhash.groups(prints).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(quality.statistics(table(spark, sf_dir, "documents")))
     return quality.judge(counts, quality.fit(counts)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (n_hit > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op6_quality_rules, op8_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
