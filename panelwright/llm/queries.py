@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, quality, simhash
+from panelwright.llm import decontaminate, packing, quality, secrets, simhash
 from panelwright.llm.common import cut, table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(cut(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id", *(F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(secrets.written(of(*secrets.BASE)).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return simhash.groups(prints).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -28,5 +51,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op6_quality_rules, op8_benchmark_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (pipeline, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, 
+                                   op6_quality_rules, op8_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
