@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,5 +58,35 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def record(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def portions(batches: Iterable[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches whose `column` (strings or bytes, no nulls) holds about `size` bytes at most, or a single row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def kinds_of(df: DataFrame) -> str:
+    """Names and types, as mapInArrow takes them."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def stored(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder in the shared storage, and the path in it."""
+    return fs.FileSystem.from_uri(uri)
+
+
+@contextmanager
+def written_once(uri: str, attempt: int) -> Iterator[pa.NativeFile]:
+    """A file that appears under its name when it is whole. Attempts of a task write the same bytes, so that the last to
+    end may replace what an earlier one has left."""
+    system, path = stored(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    own = f"{path}.{attempt}.tmp"
+    with system.open_output_stream(own) as out:
+        yield out
+    system.move(own, path)

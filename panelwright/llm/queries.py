@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, secrets, simhash
-from panelwright.llm.common import cut, table
+from panelwright.llm import decontaminate, packing, quality, secrets, simhash, token_counts, token_store
+from panelwright.llm.common import cut, shared_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -57,6 +57,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own; one that is kept between runs is a parameter of the operator."""
+    cache = shared_folder(spark)
+    return token_counts.counts(table(spark, sf_dir, "documents"), cache, vocabulary("piece_bpe_32k.model")).withColumn(
+        "over_limit", F.col("n_tokens") > 4096)
+
+
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_store.write(table(spark, sf_dir, "documents"), shared_folder(spark), vocabulary("word_bpe_49k.json"))
+    return token_store.read(files)
+
+
 QUERIES = {f.__name__: f for f in (pipeline, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, 
-                                   op6_quality_rules, op8_benchmark_decontamination)}
+                                   op6_quality_rules, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
 ORACLES: dict[str, str] = {}
