@@ -87,6 +87,6 @@ def written_once(uri: str, attempt: int) -> Iterator[pa.NativeFile]:
     system, path = stored(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{attempt}.tmp"
-    with system.open_output_stream(own) as out:
+    with system.open_output_stream(own, compression=None) as out:
         yield out
     system.move(own, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, secrets, simhash, token_counts, token_store
+from panelwright.llm import decontaminate, packing, quality, secrets, simhash, token_counts, token_store, urls, warc
 from panelwright.llm.common import cut, shared_folder, table
 
 
@@ -15,6 +15,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages"), shared_folder(spark)))
+    return found.select(F.nullif("page", F.lit("")).cast("long").alias("page_id"), F.col("bytes").alias("payload_bytes"),
+                        F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return packing.pack(cut(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
@@ -37,6 +44,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(prints).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(quality.statistics(table(spark, sf_dir, "documents")))
     return quality.judge(counts, quality.fit(counts)).select(
@@ -69,6 +80,7 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(files)
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, 
-                                   op6_quality_rules, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
+QUERIES = {f.__name__: f for f in (
+    pipeline, op1_warc, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, op5_url_filters, op6_quality_rules,
+    op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
 ORACLES: dict[str, str] = {}

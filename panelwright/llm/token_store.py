@@ -66,7 +66,7 @@ def train(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> str:
 
 def dictionary(folder: str, name: str) -> zstandard.ZstdCompressionDict | None:
     system, path = stored(f"{folder}/{name}.dictionary")
-    with system.open_input_stream(path) as file:
+    with system.open_input_stream(path, compression=None) as file:
         data = file.read()
     if hashlib.sha256(data).hexdigest() != name:
         raise ValueError(f"{path} isn't the dictionary that it is named after")
