@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, secrets, simhash, token_counts, token_store, urls, warc
+from panelwright.llm import decontaminate, packing, quality, secrets, simhash, token_counts, token_store, toxicity, urls, warc
 from panelwright.llm.common import cut, shared_folder, table
 
 
@@ -54,6 +54,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+                        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))),
+                                     ",").alias("spans"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
@@ -82,5 +91,5 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     pipeline, op1_warc, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, op5_url_filters, op6_quality_rules,
-    op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
+    op7_toxicity, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
 ORACLES: dict[str, str] = {}
