@@ -36,7 +36,7 @@ MIXED = {"entropy_hex": ("[0-9]", "[a-fA-F]"), "entropy_base64": ("[0-9]", "[a-z
 KINDS = (*BASE, *CLASSES)
 #: Harmless strings: ids in UUID form, alphabets and counting, placeholders, paths of words.
 ALLOWED = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i)0123456789|abcdefgh|qwertyuiop",
-           r"(?i)example|placeholder|changeme|your[_-]|xxxx", r"^(/?[A-Za-z]+[0-9]{0,4}){3,}$")
+           r"(?i)example|placeholder|changeme|your[_-]|xxxx", r"^/?([a-z_-]{3,}|[0-9]{1,4})(/([a-z_-]{3,}|[0-9]{1,4}))+/?$")
 _BITS = [0.0, *(n * log2(n) for n in range(1, WINDOW + 1))]
 
 
@@ -47,15 +47,15 @@ def dense(text: str, least: float, window: int = WINDOW) -> list[tuple[int, int]
     most = window * (log2(window) - least)
     bits = _BITS if window == WINDOW else [0.0, *(n * log2(n) for n in range(1, window + 1))]
     for i, new in enumerate(text):
-        n = counts.get(new, 0)
-        counts[new] = n + 1
-        total += bits[n + 1] - bits[n]
         begin = i + 1 - window
         if begin > 0:
             old = text[begin - 1]
             n = counts[old]
             counts[old] = n - 1
             total += bits[n - 1] - bits[n]
+        n = counts.get(new, 0)
+        counts[new] = n + 1
+        total += bits[n + 1] - bits[n]
         if begin >= 0 and total <= most + 1e-9:
             if out and begin <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
