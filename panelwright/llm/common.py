@@ -51,6 +51,14 @@ def utf8_of(column: str = "text") -> Column:
     return text_of(column).cast("binary")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list[Column]]:
+    """`docs` with numbers for column names and the text besides, those names, and what gives the old names back. So no
+    column of a table can clash with one that an operator adds."""
+    names = tuple(f"column_{i}" for i in range(len(docs.columns)))
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    return docs.select(*own, "text"), names, [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that Python holds few texts at a time."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import parts, utf8_of
+from panelwright.llm.common import numbered, parts, utf8_of
 
 #: Digits and small letters stay, capitals become small, all other ASCII ends a word; other UTF-8 bytes stay.
 _WORD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -156,5 +156,5 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of `docs` without a hit, columns unchanged."""
-    found = search(docs, benchmark, window, keep=tuple(docs.columns))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    own, names, old = numbered(docs)
+    return search(own, benchmark, window, keep=names).where(F.size("hits") == 0).select(*old)
