@@ -92,4 +92,37 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     pipeline, op1_warc, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, op5_url_filters, op6_quality_rules,
     op7_toxicity, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
-ORACLES: dict[str, str] = {}
+#: SQL for operators whose results SQL can express: not those with a tokenizer, a fitted model or an entropy window.
+#: That of op5 runs every pattern on every URL, where the operator runs those that its index fetches.
+ORACLES: dict[str, str] = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= {warc.LEAST_BYTES} GROUP BY html)
+        SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+          CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (html)""",
+    "op5_url_filters": """WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        fit AS (SELECT *, CASE """ + " ".join(
+            f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+            for _, h, p in sorted(urls.HOSTS, key=lambda r: -len(r[1] + r[2]))) + """ END AS rule FROM u)
+        SELECT page_id, host, path, rule, CASE """ + " ".join(
+            f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in urls.HOSTS) + " " + " ".join(
+            f"WHEN regexp_matches(url, '{r.pattern}') THEN '{r.verdict}'"
+            for r in sorted(urls.RULES, key=lambda r: r.verdict)) + " ELSE 'allow' END AS verdict FROM fit",
+    "op8_benchmark_decontamination": r"""WITH dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS MATERIALIZED (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[i:i + n - 1], ' ') AS body FROM
+          (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM bw WHERE len(w) > 0))),
+        sizes AS (SELECT DISTINCT n FROM win),
+        own AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS body FROM
+          (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+        hit AS MATERIALIZED (SELECT doc_id, item, n, i FROM own JOIN win USING (n, body)),
+        words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, n, i FROM hit)) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
