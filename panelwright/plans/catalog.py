@@ -24,6 +24,8 @@ P = JobParams()
 # Few small trees: the queries show the operators, not a tuned model.
 MODEL = small_model(n_folds=2, rf_trees=8, rf_depth=4, gb_rounds=2)
 WALK = MODEL.with_(rebalance_every=420, retrain_every=840, min_expected_return=0.0, backtest_min_return=0.0)
+#: Permutation rounds of the checks.
+SEEDS = [falsify.BASE_SEED + k for k in range(3)]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -67,17 +69,39 @@ class Stage:
     def roles(self) -> DataFrame:
         return folds.day_roles(self.positions, P).persist()
 
-    @cached_property
-    def rule_oof(self) -> DataFrame:
+    def rule_rows(self, z: DataFrame) -> DataFrame:
         """Validation rows with rule-based stand-ins for the two learners."""
-        val = self.z.join(self.roles.where("role = 'val'").select("date", "fold"), "date")
+        val = z.join(self.roles.where("role = 'val'").select("date", "fold"), "date")
         c = F.col
         votes = F.array(*[0.02 * c(v) for v in ("ret_5d", "ret_10d", "ret_21d", "ret_42d", "ret_63d")])
         return val.select(
             F.lit(1).alias("model"), "date", "ticker", "fold",
             (0.02 * c("mom_3_1") + 0.01 * c("ret_21d")).alias("rf"),
             (0.02 * c("mom_3_1") + 0.01 * c("zscore_21")).alias("gb"),
-            ensemble.vote_std(votes).alias("tree_std"), "y").persist()
+            ensemble.vote_std(votes).alias("tree_std"), "y")
+
+    @cached_property
+    def rule_oof(self) -> DataFrame:
+        return self.rule_rows(self.z).persist()
+
+    @cached_property
+    def refit_r2(self) -> DataFrame:
+        """kind, oof_r2 of the stack refitted on true labels, on permuted ones (a row a seed) and on lagged features.
+
+        All refits are models of one fit: a group each in the same two aggregates.
+        """
+        lagged = pn.normalise(pn.build_panel(ft.lag_features(self.features, 1, P)), "date", span=self.span)
+        rows = {"real": [self.rule_oof], "lagged": [self.rule_rows(lagged)], "permuted": [
+            falsify.with_labels(self.rule_oof, falsify.permute_labels(self.panel, seed)) for seed in SEEDS]}
+        models = [(kind, df) for kind, many in rows.items() for df in many]
+        stacks = None
+        for model, (_, df) in enumerate(models):
+            own = df.withColumn("model", F.lit(model)).select(self.rule_oof.columns)
+            stacks = own if stacks is None else stacks.unionByName(own)
+        stacks = stacks.persist()
+        fitted = ensemble.calibration(ensemble.stacked(stacks, ensemble.fit_ridge(stacks)))
+        names = F.array(*(F.lit(kind) for kind, _ in models))
+        return fitted.select(F.element_at(names, F.col("model") + 1).alias("kind"), "oof_r2").persist()
 
     @cached_property
     def ridge(self) -> DataFrame:
@@ -751,34 +775,55 @@ def _(s: Stage) -> DataFrame:
     return integrity.benchmarks_present(s.performance).select(*CHECK)
 
 
-def _rule_r2(s: Stage) -> DataFrame:
-    """R2 rows around the rule-based stack: the real one and fixed offsets of it."""
-    real = s.calibration.select(F.lit("real").alias("kind"), "oof_r2")
-    lagged = real.select(F.lit("lagged").alias("kind"), (F.col("oof_r2") - 0.001).alias("oof_r2"))
-    permuted = real.select(F.lit("permuted").alias("kind"), (F.col("oof_r2") * 0.0).alias("oof_r2"))
-    return real.unionByName(lagged).unionByName(permuted)
+def _after(first: list[str], then: list[str]) -> list[str]:
+    """Tables of both, each once."""
+    return first + [t for t in then if t not in first]
+
+
+REFITS = OOF + o.refits(SEEDS)
+GATE = REFITS + [f"""gate AS (SELECT *, coalesce(top < {integrity.PERMUTATION_TOLERANCE}, FALSE) AS ok, lagged - real <= {integrity.LAG_TOLERANCE} AS lag_ok FROM
+    (SELECT max(oof_r2) FILTER (kind = 'permuted') AS top, avg(oof_r2) FILTER (kind = 'permuted') AS mean, count(*) FILTER (kind = 'permuted') AS n,
+     max(oof_r2) FILTER (kind = 'real') AS real, max(oof_r2) FILTER (kind = 'lagged') AS lagged FROM r2))"""]
+GATE_ROW = """SELECT 'Falsification gate: permuted labels' AS name, ok AS passed, printf('permuted R2 max %.4f mean %.4f real %.4f', top, mean, real) AS measure,
+    'permutation rounds: ' || n AS detail, TRUE AS gating, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status FROM gate"""
+
+
+@query("refit_r2", REFITS, "SELECT kind, round(oof_r2, 6) AS oof_r2 FROM r2")
+def _(s: Stage) -> DataFrame:
+    return s.refit_r2.select("kind", r("oof_r2"))
+
+
+@query("check_permutation_gate", GATE, GATE_ROW)
+def _(s: Stage) -> DataFrame:
+    return integrity.permutation_gate(s.refit_r2).select(*CHECK)
 
 
-@query("check_permutation_gate", STACK, """SELECT 'Falsification gate: permuted labels' AS name, TRUE AS passed,
-    printf('permuted R2 max %.4f mean %.4f real %.4f', 0.0, 0.0, oof_r2) AS measure, 'permutation rounds: 1' AS detail, TRUE AS gating, 'PASS' AS status FROM cal""")
+@query("check_permutation_gate_leak", REFITS + ["""oof_leak AS MATERIALIZED (SELECT * REPLACE (rf + y AS rf) FROM oof_p0)"""] + o.ridge("_leak") + [
+    GATE[-1].replace("FROM r2))", "FROM (SELECT kind, oof_r2 FROM r2 WHERE kind = 'real' UNION ALL SELECT 'permuted', oof_r2 FROM cal_leak)))")], GATE_ROW)
 def _(s: Stage) -> DataFrame:
-    return integrity.permutation_gate(_rule_r2(s)).select(*CHECK)
+    """A learner that sees the labels it is scored on: the gate has to fail."""
+    permuted = falsify.with_labels(s.rule_oof, falsify.permute_labels(s.panel, SEEDS[0]))
+    leak = permuted.withColumn("rf", F.col("rf") + F.col("y")).persist()
+    fitted = ensemble.calibration(ensemble.stacked(leak, ensemble.fit_ridge(leak)))
+    rows = s.refit_r2.where("kind = 'real'").unionByName(fitted.select(F.lit("permuted").alias("kind"), "oof_r2"))
+    return integrity.permutation_gate(rows).select(*CHECK)
 
 
-@query("check_feature_lag", STACK, """SELECT 'Feature-lag test' AS name, TRUE AS passed, printf('lagged - real %.4f', -0.001) AS measure,
-    printf('real %.4f, lagged %.4f', oof_r2, oof_r2 - 0.001) AS detail, FALSE AS gating, 'PASS' AS status FROM cal""")
+@query("check_feature_lag", GATE, """SELECT 'Feature-lag test' AS name, lag_ok AS passed, printf('lagged - real %.4f', lagged - real) AS measure,
+    printf('real %.4f, lagged %.4f', real, lagged) AS detail, FALSE AS gating, CASE WHEN lag_ok THEN 'PASS' ELSE 'FAIL' END AS status FROM gate""")
 def _(s: Stage) -> DataFrame:
-    return integrity.feature_lag(_rule_r2(s)).select(*CHECK)
+    return integrity.feature_lag(s.refit_r2).select(*CHECK)
 
 
 def _checks(s: Stage, with_rounds: bool) -> DataFrame:
     return integrity.report(
         s.spark, changes=s.lookahead, feats=s.features,
         summary=s.fold_summary, perf=s.performance,
-        r2=_rule_r2(s) if with_rounds else None, run_lag=with_rounds, params=P)
+        r2=s.refit_r2 if with_rounds else None, run_lag=with_rounds, params=P)
 
 
-@query("integrity_rollup", PERF, "SELECT 8 AS n_checks, 8 AS n_passed, 1 AS n_gating, TRUE AS gate_ok, 'PASSED' AS gate_state FROM perf WHERE strategy = 'strategy'")
+@query("integrity_rollup", _after(PERF, GATE), """SELECT 8 AS n_checks, 6 + CAST(ok AS INTEGER) + CAST(lag_ok AS INTEGER) AS n_passed, 1 AS n_gating, ok AS gate_ok,
+    CASE WHEN ok THEN 'PASSED' ELSE 'FAILED' END AS gate_state FROM perf, gate WHERE strategy = 'strategy'""")
 def _(s: Stage) -> DataFrame:
     return integrity.gate(_checks(s, True))
 
@@ -845,9 +890,10 @@ def _(s: Stage) -> DataFrame:
         s.spark.createDataFrame([], "kind string, oof_r2 double"))))
 
 
-@query("report_shown", PERF, "SELECT strategy, round(cagr, 6) AS cagr, CAST(NULL AS VARCHAR) AS reason FROM perf")
+@query("report_shown", _after(PERF, GATE), """SELECT strategy, round(cagr, 6) AS cagr, CAST(NULL AS VARCHAR) AS reason FROM perf, gate WHERE ok
+    UNION ALL SELECT NULL, NULL, 'falsification gate did not pass' FROM gate WHERE NOT ok""")
 def _(s: Stage) -> DataFrame:
-    return report.withheld(s.performance, integrity.gate(integrity.permutation_gate(_rule_r2(s)))).select(
+    return report.withheld(s.performance, integrity.gate(integrity.permutation_gate(s.refit_r2))).select(
         "strategy", r("cagr"), "reason")
 
 

@@ -6,6 +6,8 @@ row-by-row ledger); it shares no formula tricks with the Spark plans.
 
 from __future__ import annotations
 
+import re
+
 from panelwright.operators.features import FEATURES
 from panelwright.params import JobParams
 
@@ -158,16 +160,17 @@ def folds(n_folds: int = P.n_folds, embargo: int = P.embargo) -> list[str]:
 
 
 # ------------------------------------------------- rule-based predictions
-def rule_oof() -> list[str]:
+def rule_oof(src: str = "z", out: str = "oof") -> list[str]:
     """Validation rows of the folds with rule-based stand-ins for both learners."""
     votes = ["ret_5d", "ret_10d", "ret_21d", "ret_42d", "ret_63d"]
-    return [f"""oof AS MATERIALIZED (SELECT 1 AS model, z.date, z.ticker, roles.fold, 0.02 * mom_3_1 + 0.01 * ret_21d AS rf,
+    return [f"""{out} AS MATERIALIZED (SELECT 1 AS model, z.date, z.ticker, roles.fold, 0.02 * mom_3_1 + 0.01 * ret_21d AS rf,
         0.02 * mom_3_1 + 0.01 * zscore_21 AS gb, y, {', '.join(f'0.02 * {v} AS v{i}' for i, v in enumerate(votes))}
-        FROM z JOIN roles ON roles.date = z.date AND roles.role = 'val')"""]
+        FROM {src} z JOIN roles ON roles.date = z.date AND roles.role = 'val')"""]
 
 
-def ridge() -> list[str]:
-    return [
+def ridge(tag: str = "") -> list[str]:
+    """The stack fitted on oof; with a tag, on the table of that name, its tables likewise named."""
+    return [re.sub(r"\b(oof|mom|fit|loo|ridge|stk|cal)\b", rf"\1{tag}", sql) for sql in [
         """mom AS (SELECT count(*) AS n, avg(rf) AS mr, avg(gb) AS mg, avg(y) AS my, var_pop(rf) * count(*) AS srr,
           var_pop(gb) * count(*) AS sgg, covar_pop(rf, gb) * count(*) AS srg, covar_pop(rf, y) * count(*) AS sry,
           covar_pop(gb, y) * count(*) AS sgy FROM oof)""",
@@ -183,7 +186,28 @@ def ridge() -> list[str]:
           1 / (1 + 5 * abs(rf - gb)) AS confidence,
           list_aggregate([v0, v1, v2, v3, v4], 'stddev_pop') AS tree_std FROM oof, ridge)""",
         """cal AS MATERIALIZED (SELECT 1 AS model, count(*) AS n_oof, 1 - sum(pow(y - pred, 2)) / (var_pop(y) * count(*)) AS oof_r2,
-          stddev_pop(y - pred) AS residual_std, avg(abs(y - pred)) AS residual_mae FROM stk)"""]
+          stddev_pop(y - pred) AS residual_std, avg(abs(y - pred)) AS residual_mae FROM stk)"""]]
+
+
+def permuted(seed: int, out: str, src: str = "panel") -> list[str]:
+    """Labels dealt anew among the tickers of each date."""
+    order = "md5(ticker || '-' || CAST(date AS VARCHAR) || '-{}'), ticker"
+    rows = "(SELECT date, {}, row_number() OVER (PARTITION BY date ORDER BY {}) AS rn FROM {})"
+    return [f"""{out} AS MATERIALIZED (SELECT date, ticker, y FROM {rows.format('ticker', order.format(f'{seed}a'), src)} a
+        JOIN {rows.format('y', order.format(f'{seed}b'), src)} b USING (date, rn))"""]
+
+
+def refits(seeds: list[int]) -> list[str]:
+    """r2(kind, oof_r2): the stack refitted on true labels, on permuted ones, and on features of the day before."""
+    out, kinds = ridge(), ["SELECT 'real' AS kind, oof_r2 FROM cal"]
+    for k, seed in enumerate(seeds):
+        out += permuted(seed, f"perm{k}")
+        out += [f"oof_p{k} AS MATERIALIZED (SELECT oof.* REPLACE (p.y AS y) FROM oof JOIN perm{k} p USING (date, ticker))"]
+        out += ridge(f"_p{k}")
+        kinds.append(f"SELECT 'permuted', oof_r2 FROM cal_p{k}")
+    out += lagged(1) + panel("lagged", "lpanel") + normalised("lpanel", "lz") + rule_oof("lz", "oof_lag") + ridge("_lag")
+    kinds.append("SELECT 'lagged', oof_r2 FROM cal_lag")
+    return [*out, f"r2 AS MATERIALIZED ({' UNION ALL '.join(kinds)})"]
 
 
 def tier(er: str, low: str, conf: str, std: str) -> str:
