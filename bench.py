@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 from panelwright.plans import catalog
 
-HEADLINE = ["bars_supplier", "labels_forward", "features_momentum"]
+HEADLINE = ["bars_supplier", "labels_forward", "features_momentum", "features_complete", "panel_zscore", "fold_summary",
+            "permuted_labels", "ledger"]
 
 
 def main() -> None:

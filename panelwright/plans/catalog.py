@@ -963,5 +963,5 @@ def _(s: Stage) -> DataFrame:
     checks = _checks(s, True).persist()
     table = audit.tier_table(_tiers(s))
     return report.run_record(
-        s.spark, P, universe=un.capped(s.bars().select("ticker").distinct().select(F.col("ticker").alias("ord"), "ticker"), P),
+        s.spark, P, universe=s.bars().select("ticker").distinct(),
         checks=checks, gate_row=integrity.gate(checks), perf=s.performance, tiers=table, verdict=audit.verdict(table))

@@ -59,10 +59,10 @@ def top_importances(table: DataFrame) -> DataFrame:
 
 def run_record(spark, params, *, universe: DataFrame, checks: DataFrame, gate_row: DataFrame,
                perf: DataFrame, tiers: DataFrame, verdict: DataFrame, lead: str = "strategy") -> DataFrame:
-    """One nested row with the whole run.
+    """One nested row with the whole run; its parts have a handful of rows each.
 
-    Every part but the universe has a handful of rows. The universe is the
-    capped list, at most ``max_universe_size`` symbols.
+    Of the universe the record has the number of symbols; ``write_record`` writes
+    the symbols as a table next to it.
     """
     def packed(df: DataFrame, name: str, *cols: str) -> DataFrame:
         return df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)).withColumn("one", F.lit(1))
@@ -75,7 +75,7 @@ def run_record(spark, params, *, universe: DataFrame, checks: DataFrame, gate_ro
         F.lit(params.rebalance_every).alias("rebalance_frequency_days"),
         F.lit(params.cost_bps).alias("transaction_cost_bps"),
         F.lit(params.max_universe_size).alias("max_universe_size"), F.lit(params.seed).alias("random_seed"))
-    out = packed(universe, "universe", "ticker")
+    out = universe.agg(F.countDistinct("ticker").alias("universe_size")).withColumn("one", F.lit(1))
     for df in (packed(checks, "integrity", "ord", "name", "passed", "gating", "measure", "detail"),
                perf.agg(own.alias("backtest")).withColumn("one", F.lit(1)),
                packed(tiers, "tiers", "tier_order", "tier", "n", "mean_pred", "mean_realized",
@@ -83,11 +83,12 @@ def run_record(spark, params, *, universe: DataFrame, checks: DataFrame, gate_ro
                verdict.select(F.struct("monotonic", "detail").alias("audit"), F.lit(1).alias("one")),
                gate_row.select(F.col("gate_ok").alias("falsification_gate_passed"), F.lit(1).alias("one"))):
         out = out.join(F.broadcast(df), "one")
-    return out.select(config.alias("config"), F.size("universe").alias("universe_size"), "*").drop("one")
+    return out.select(config.alias("config"), "*").drop("one")
 
 
-def write_record(record: DataFrame, root: str, stamp: str) -> str:
-    """JSON under a dated path."""
+def write_record(record: DataFrame, universe: DataFrame, root: str, stamp: str) -> str:
+    """The record as JSON, and the universe as a table, under a dated path."""
     path = f"{root}/{stamp}"
-    record.write.mode("overwrite").json(path)
+    record.write.mode("overwrite").json(f"{path}/record")
+    universe.select("ticker").distinct().write.mode("overwrite").parquet(f"{path}/universe")
     return path

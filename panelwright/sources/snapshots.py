@@ -30,12 +30,12 @@ def write_snapshot(df: DataFrame, root: str, kind: str, fetch_date: dt.date) ->
 
 
 def scan_snapshot(spark: SparkSession, root: str, kind: str, fetch_date: dt.date) -> DataFrame:
-    """One fetch date; only its partition is read. A missing snapshot is empty, a broken file skipped."""
+    """One fetch date; only its partition is read. A missing snapshot is empty; a broken file fails the read, so no row is lost unseen."""
     schema = T.StructType([*SCHEMAS[kind], T.StructField("fetch_date", T.DateType())])
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], SCHEMAS[kind])
-    return (spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(f"{root}/{kind}")
+    return (spark.read.schema(schema).parquet(f"{root}/{kind}")
             .where(F.col("fetch_date") == F.lit(fetch_date)).drop("fetch_date"))
 
 
