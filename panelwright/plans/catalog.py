@@ -6,6 +6,7 @@ once per session and folder and persisted, as a research run would.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cached_property
 
@@ -775,11 +776,6 @@ def _(s: Stage) -> DataFrame:
     return integrity.benchmarks_present(s.performance).select(*CHECK)
 
 
-def _after(first: list[str], then: list[str]) -> list[str]:
-    """Tables of both, each once."""
-    return first + [t for t in then if t not in first]
-
-
 REFITS = OOF + o.refits(SEEDS)
 GATE = REFITS + [f"""gate AS (SELECT *, coalesce(top < {integrity.PERMUTATION_TOLERANCE}, FALSE) AS ok, lagged - real <= {integrity.LAG_TOLERANCE} AS lag_ok FROM
     (SELECT max(oof_r2) FILTER (kind = 'permuted') AS top, avg(oof_r2) FILTER (kind = 'permuted') AS mean, count(*) FILTER (kind = 'permuted') AS n,
@@ -788,6 +784,10 @@ GATE_ROW = """SELECT 'Falsification gate: permuted labels' AS name, ok AS passed
     'permutation rounds: ' || n AS detail, TRUE AS gating, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status FROM gate"""
 
 
+#: Beside the ledger's tables, which have bars of other keys.
+GATED = PERF + [re.sub(r"\b(bars|bars_ticks)\b", r"gate_\1", sql) for sql in GATE]
+
+
 @query("refit_r2", REFITS, "SELECT kind, round(oof_r2, 6) AS oof_r2 FROM r2")
 def _(s: Stage) -> DataFrame:
     return s.refit_r2.select("kind", r("oof_r2"))
@@ -822,7 +822,7 @@ def _checks(s: Stage, with_rounds: bool) -> DataFrame:
         r2=s.refit_r2 if with_rounds else None, run_lag=with_rounds, params=P)
 
 
-@query("integrity_rollup", _after(PERF, GATE), """SELECT 8 AS n_checks, 6 + CAST(ok AS INTEGER) + CAST(lag_ok AS INTEGER) AS n_passed, 1 AS n_gating, ok AS gate_ok,
+@query("integrity_rollup", GATED, """SELECT 8 AS n_checks, 6 + CAST(ok AS INTEGER) + CAST(lag_ok AS INTEGER) AS n_passed, 1 AS n_gating, ok AS gate_ok,
     CASE WHEN ok THEN 'PASSED' ELSE 'FAILED' END AS gate_state FROM perf, gate WHERE strategy = 'strategy'""")
 def _(s: Stage) -> DataFrame:
     return integrity.gate(_checks(s, True))
@@ -890,7 +890,7 @@ def _(s: Stage) -> DataFrame:
         s.spark.createDataFrame([], "kind string, oof_r2 double"))))
 
 
-@query("report_shown", _after(PERF, GATE), """SELECT strategy, round(cagr, 6) AS cagr, CAST(NULL AS VARCHAR) AS reason FROM perf, gate WHERE ok
+@query("report_shown", GATED, """SELECT strategy, round(cagr, 6) AS cagr, CAST(NULL AS VARCHAR) AS reason FROM perf, gate WHERE ok
     UNION ALL SELECT NULL, NULL, 'falsification gate did not pass' FROM gate WHERE NOT ok""")
 def _(s: Stage) -> DataFrame:
     return report.withheld(s.performance, integrity.gate(integrity.permutation_gate(s.refit_r2))).select(
