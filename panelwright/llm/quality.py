@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import text_of
+from panelwright.llm.common import numbered, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -83,7 +84,10 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).cast("bigint").alias("n_shouts"))
     for name, column in _repeats(t):
         df = df.select("*", column.alias(name))
-    return df.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), *COUNTS)
+    # A row's number keeps a later filter above these steps; moved below, it would take them anew for each word.
+    above = F.least(F.monotonically_increasing_id(), F.lit(0).cast("bigint"))  # zero
+    return df.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)),
+                     *((F.col(c) + above).alias(c) if c == "n_repeat_words" else F.col(c) for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -109,7 +113,8 @@ def rules() -> dict[str, Column]:
     }
 
 
-RULES = tuple(rules())
+#: As in rules(), in that order; named apart, as columns need a session.
+RULES = ("length", "word_length", "symbols", "lines", "repeats", "capitals", "shouting")
 
 
 GOOD = "good"
@@ -125,17 +130,19 @@ class Model:
     share: dict[str, float]
     bad: dict[str, dict[str, float]]
 
-    def posterior(self) -> Column:
-        """Probability that a document with these COUNTS is good. Abstaining rules say nothing."""
-        votes = rules()
-
-        def odds(fault: str) -> Column:
-            good, own = self.bad[GOOD], self.bad[fault]
-            return reduce(lambda a, b: a + b, (
-                F.when(v == -1, log(own[r] / good[r])).when(v == 1, log((1 - own[r]) / (1 - good[r]))).otherwise(0.0)
-                for r, v in votes.items()), F.lit(log(self.share[fault] / self.share[GOOD])))
+    def chances(self, pattern: tuple[int, ...]) -> dict[str, float]:
+        """Probability of each class, given the votes. Abstaining rules say nothing."""
+        logs = {c: log(share) + sum(log(self.bad[c][r] if v == -1 else 1 - self.bad[c][r])
+                                    for r, v in zip(RULES, pattern, strict=True) if v) for c, share in self.share.items()}
+        top = max(logs.values())
+        each = {c: exp(x - top) for c, x in logs.items()}
+        return {c: x / sum(each.values()) for c, x in each.items()}
 
-        return 1 / reduce(lambda a, b: a + b, (F.exp(odds(fault)) for fault in RULES), F.lit(1.0))
+    def posterior(self) -> Column:
+        """Probability that a document with these COUNTS is good: looked up by its votes, read as digits of base 3."""
+        good = ",".join(f"{self.chances(p)[GOOD]!r}D" for p in product((-1, 0, 1), repeat=len(RULES)))
+        code = reduce(lambda a, b: 3 * a + b, (v + 1 for v in rules().values()))
+        return F.element_at(F.expr(f"array({good})"), code + 1)
 
 
 def _start() -> Model:
@@ -163,17 +170,12 @@ def fit(counts: DataFrame, rounds: int = 40) -> Model:
         voted = {c: dict.fromkeys(RULES, 10.0) for c in weight}
         bad = {c: {r: 10 * first.bad[c][r] for r in RULES} for c in weight}
         for pattern, n in patterns:
-            logs = {c: log(model.share[c]) + sum(log(model.bad[c][r] if v == -1 else 1 - model.bad[c][r])
-                                                 for r, v in zip(RULES, pattern, strict=True) if v) for c in weight}
-            top = max(logs.values())
-            chance = {c: exp(x - top) for c, x in logs.items()}
-            scale = n / sum(chance.values())
-            for c, x in chance.items():
-                weight[c] += x * scale
+            for c, x in model.chances(pattern).items():
+                weight[c] += n * x
                 for r, v in zip(RULES, pattern, strict=True):
                     if v:
-                        voted[c][r] += x * scale
-                        bad[c][r] += x * scale * (v == -1)
+                        voted[c][r] += n * x
+                        bad[c][r] += n * x * (v == -1)
         model = Model({c: max(1e-6, w / total) for c, w in weight.items()},
                       {c: {r: _held(c, r, bad[c][r] / voted[c][r]) for r in RULES} for c in weight})
     return model
@@ -188,5 +190,5 @@ def judge(counts: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def keep(docs: DataFrame, counts: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `docs` that `judge` keeps, columns unchanged. The model comes from `counts` of the same documents;
     the counts of a row are made again beside its text, which costs a second reading and no shuffle."""
-    columns = docs.columns
-    return judge(statistics(docs, keep=tuple(columns)), fit(counts), least).where("kept").select(*columns)
+    own, names, old = numbered(docs)
+    return judge(statistics(own, keep=names), fit(counts), least).where("kept").select(*old)
