@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import portions, text_of
+from panelwright.llm.common import cut, portions, text_of
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
@@ -62,4 +62,6 @@ def counts(docs: DataFrame, cache: str, path: str) -> DataFrame:
     distinct = own.groupBy("content").agg(F.first("body").alias("body"))
     misses = distinct.join(known().select("content"), "content", "left_anti")
     encoded(misses, path).select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return own.select("doc_id", F.octet_length("body").cast("bigint").alias("n_bytes"), "content").join(known(), "content").drop("content")
+    # Kept, so that both sides of the join come from a plain exchange, whose large partitions Spark splits: one content
+    # may be that of a third of the documents.
+    return own.select("doc_id", F.octet_length("body").cast("bigint").alias("n_bytes"), "content").join(cut(known()), "content").drop("content")
