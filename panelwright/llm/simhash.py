@@ -145,6 +145,7 @@ def groups(prints: DataFrame, radius: int = 2, segments: int = 2, id_column: str
     roots = components(links(distinct, radius, segments))
     rooted = cut(distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Kept, so that a component of many fingerprints meets it over a plain exchange, whose large partitions Spark splits.
+    first = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(first, "root").select(F.col("fp").alias("named"), "component_id")
     return prints.join(named, F.col("fp") == F.col("named"), "left").drop("named")
