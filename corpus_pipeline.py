@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, secrets, simhash
+from panelwright.llm import decontaminate, near, packing, quality, secrets
 from panelwright.llm.common import cut, shared_folder, table
 from panelwright.llm.queries import vocabulary
 
@@ -18,13 +18,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id.
 
-    Shingles of five words; copies of a similarity of 0.8 and more differ in few bits, of which five are allowed. Of
-    rows with the same id and text, one stays; a row without an id stays only where its group has no id.
+    Copies have a Jaccard similarity of 0.8 or more of their shingles of five words, counted on the whole sets. SimHash
+    and sketches find the candidates. Of rows with the same id and text, one stays; a row without an id stays only where
+    its group has no id.
     """
     content = F.xxhash64("text").alias("content")
-    prints = cut(simhash.fingerprints(docs.select("doc_id", "text", content), words=5, keep=("doc_id", "content")))
-    groups = simhash.groups(prints, radius=5, segments=3)
-    stay = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(
+    stay = near.groups(docs.select("doc_id", "text", content)).groupBy("root").agg(
         F.min_by(F.struct("doc_id", "content"), F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"))
     stay = stay.select(F.col("row.doc_id").alias("__id"), F.col("row.content").alias("__stays"))
     return docs.withColumn("__content", content).join(

@@ -34,21 +34,29 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Unsigned, of UTF-8 bytes; A-Z are lower-cased and words end at ASCII white space."""
-    found = text.lower().split()
-    if not found:
-        return 0
+def shingles(text: bytes, words: int = 3) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the shingles of UTF-8 bytes, BLOCK at a time; A-Z are lower-cased and words end at ASCII white
+    space. A text without words has one empty shingle."""
+    found = text.lower().split() or [b""]
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     first, last = starts[:n].tolist(), ends[min(words, len(found)) - 1:].tolist()
-    votes, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first[at:at + BLOCK], last[at:at + BLOCK])),
-                             ">u8", min(BLOCK, n - at))
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first[at:at + BLOCK], last[at:at + BLOCK])),
+                          np.uint64, min(BLOCK, n - at))
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Unsigned, of the votes of all shingles."""
+    if not text.strip():
+        return 0
+    votes, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingles(text, words):
+        votes += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
