@@ -51,9 +51,19 @@ def byte_encoder(path: str):
     return tiktoken.Encoding(Path(path).stem, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def library_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def ids_of(text: str, path: str, end_id: int = END_ID) -> np.ndarray:
-    encoding = byte_encoder(path)
-    ids = encoding.encode(text, allowed_special="all")
+    """tiktoken gives up on a run of about a million white-space characters; the library then takes the text."""
+    try:
+        ids = byte_encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        ids = library_encoder(path).encode(text, add_special_tokens=False).ids
     ids.append(end_id)
     return np.asarray(ids, "<u4")
 
