@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and a sliding-window entropy over candidate strings for each character class.
 
 A window moves over each candidate; the counts of its characters, and with them its Shannon entropy, change by one
-character in and one out. Windows above their class's threshold join into a span. Spans that an allow-list pattern
-covers, that show too few kinds of characters, or that a base span overlaps aren't added.
+character in and one out. Windows above their class's threshold join into a span. Windows that overlap a match of an
+allow-list pattern don't count, and spans that show too few kinds of characters, or that a base span overlaps, aren't
+added.
 
 Defined cases: null texts count as empty and have no spans; a text of any length is scanned whole, with memory in
 proportion to its candidates; repeated rows keep a row each; an empty table gives an empty result. Positions are code
@@ -31,8 +32,9 @@ _KEYS = ("passw", "secret", "token", "api")
 WINDOW = 20
 #: Class: its strings, and the bits a character that a window needs. Its strings also have to mix the kinds in MIXED.
 CLASSES = {"entropy_hex": (re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])"), 3.0),
-           "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7)}
-MIXED = {"entropy_hex": ("[0-9]", "[a-fA-F]"), "entropy_base64": ("[0-9]", "[a-z]", "[A-Z]")}
+           "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7),
+           "entropy_lower": (re.compile(r"(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])"), 3.5)}
+MIXED = {"entropy_hex": ("[0-9]", "[a-fA-F]"), "entropy_base64": ("[0-9]", "[a-z]", "[A-Z]"), "entropy_lower": ("[0-9]", "[g-z]")}
 KINDS = (*BASE, *CLASSES)
 #: Harmless strings: ids in UUID form, alphabets and counting, placeholders, paths of words.
 ALLOWED = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i)0123456789|abcdefgh|qwertyuiop",
@@ -65,6 +67,17 @@ def dense(text: str, least: float, window: int = WINDOW) -> list[tuple[int, int]
 
 
 _ALLOWED = [re.compile(p) for p in ALLOWED]
+
+
+def _open(string: str) -> Iterator[tuple[int, str]]:
+    """Places and stretches of `string` that no allow-list match overlaps and that hold a window."""
+    at = 0
+    for a, b in [*sorted(m.span() for p in _ALLOWED for m in p.finditer(string)), (len(string), len(string))]:
+        if a - at >= WINDOW:
+            yield at, string[at:a]
+        at = max(at, b)
+
+
 _MIXED = {k: [re.compile(p) for p in v] for k, v in MIXED.items()}
 
 
@@ -85,14 +98,14 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     taken = [(a, b) for a, b, _ in found]
     for kind, (pattern, least) in CLASSES.items():
         for m in pattern.finditer(text):
-            string = m[0]
-            if not _MIXED[kind][0].search(string) or any(p.search(string) for p in _ALLOWED):
+            if not _MIXED[kind][0].search(m[0]):
                 continue
-            for a, b in dense(string, least):
-                a, b = m.start() + a, m.start() + b
-                if all(p.search(text, a, b) for p in _MIXED[kind]) and not any(a < y and x < b for x, y in taken):
-                    found.append((a, b, kind))
-                    taken.append((a, b))
+            for at, string in _open(m[0]):
+                for a, b in dense(string, least):
+                    a, b = m.start() + at + a, m.start() + at + b
+                    if all(p.search(text, a, b) for p in _MIXED[kind]) and not any(a < y and x < b for x, y in taken):
+                        found.append((a, b, kind))
+                        taken.append((a, b))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
