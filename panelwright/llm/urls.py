@@ -1,8 +1,8 @@
 """URL filters: host rules, and pattern rules that are looked up by their rarest literal token.
 
-Each pattern rule names the literal tokens that any URL it matches must hold. The rule is kept under the one of them
-that fewest URLs of the table hold; a URL's tokens fetch the rules kept under them, and only those run their regular
-expression. Tokens are runs of ASCII letters and digits of the URL in lower case. Rules are a parameter, so their number
+Each pattern rule names, for each of its alternatives, the literal tokens that any URL which the alternative matches
+must hold. The rule is kept under the one of them that fewest URLs of the table hold, once for each alternative; a URL's
+tokens fetch the rules kept under them, and only those run their regular expression. Tokens are runs of ASCII letters and digits of the URL in lower case. Rules are a parameter, so their number
 doesn't follow the data; only the counts of tokens that rules name come to the driver.
 
 Of the host rules that fit, the longest wins, before any pattern. Of patterns, allow wins over block; without any a URL
@@ -28,19 +28,21 @@ HOSTS = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 @dataclass(frozen=True)
 class Rule:
-    """`tokens`: whole tokens that every URL which `pattern` matches holds, in lower case."""
+    """`tokens`: whole tokens that every URL which `pattern` matches holds, in lower case. Where alternatives of the
+    pattern hold different ones, `others` has the tokens of each alternative after the first."""
 
     verdict: str
     pattern: str
     tokens: tuple[str, ...]
+    others: tuple[tuple[str, ...], ...] = ()
 
 
 RULES = (
     Rule("block", r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
     Rule("block", r"[?&]ref=x(&|#|$)", ("ref", "x")),
-    Rule("block", r"://(ads|banner|doubleclick)\.", ("ads",)),
+    Rule("block", r"://(ads|banner|doubleclick)\.", ("ads",), (("banner",), ("doubleclick",))),
     Rule("block", r"://banner\.", ("banner",)),
-    Rule("block", r"/(wp-)?login\.php", ("login", "php")),
+    Rule("block", r"/(wp-)?login\.php", ("login",)),
     Rule("block", r"\.exe([?#]|$)", ("exe",)),
     Rule("block", r"[?&]sessionid=[0-9a-f]+", ("sessionid",)),
     Rule("allow", r"://www\.[^/]+/en/[0-9]+\.html\?page=[0-9]+&ref=x$", ("www", "en", "html", "page", "ref", "x")),
@@ -71,17 +73,18 @@ def host_rule(host: Column, path: Column, verdict: bool = False, rules: Iterable
 
 def frequencies(urls: DataFrame, rules: Iterable[Rule] = RULES) -> dict[str, int]:
     """URLs that hold each token which a rule names, over all rows."""
-    named = sorted({t for r in rules for t in r.tokens})
+    named = sorted({t for r in rules for own in (r.tokens, *r.others) for t in own})
     held = F.array_intersect(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), 0), F.array(*map(F.lit, named)))
     found = urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return dict.fromkeys(named, 0) | {r["token"]: r["n"] for r in found.collect()}
 
 
 def index(rules: Iterable[Rule], often: dict[str, int]) -> dict[str, list[Rule]]:
-    """Rules by the rarest of their tokens; of equally rare ones, the longest and then the first."""
+    """Rules by the rarest of each alternative's tokens; of equally rare ones, the longest and then the first."""
     out: dict[str, list[Rule]] = {}
     for rule in rules:
-        out.setdefault(min(rule.tokens, key=lambda t: (often[t], -len(t), t)), []).append(rule)
+        for token in {min(own, key=lambda t: (often[t], -len(t), t)) for own in (rule.tokens, *rule.others)}:
+            out.setdefault(token, []).append(rule)
     return out
 
 
