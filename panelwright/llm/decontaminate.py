@@ -5,7 +5,9 @@ words: a block that no window holds lets the search skip a whole window, and one
 of windows with that ending, whose first word is tested before all words are compared.
 
 The benchmark is taken in blocks of bounded size; the documents are searched once for each, and their hits add up.
-So any benchmark can be searched for, and a task never holds more than one block's tables.
+What a block has found is written to the shared folder before the next block is read, so that any benchmark can be
+searched for, a task never holds more than one block's tables, and no plan more than one block. This takes disk space of
+the texts for each block but the last.
 
 Defined cases: null texts and texts without words hit nothing; benchmark items without words are never found; items
 with the same id count once, whichever row was found; null item ids are searched for but not listed; repeated documents
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import numbered, parts, utf8_of
+from panelwright.llm.common import cut, numbered, parts, utf8_of
 
 #: Digits and small letters stay, capitals become small, all other ASCII ends a word; other UTF-8 bytes stay.
 _WORD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -149,6 +151,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[
     out = docs.select(*taken, utf8_of().alias("utf8"))
     bucket = F.pmod(F.xxhash64("item", "utf8"), F.lit(blocks))
     for b in range(blocks):
+        if b:
+            rows, out = None, cut(out)
         rows = [(r["item"], bytes(r["utf8"])) for r in items.where(bucket == b).collect()]
         out = _searched(out, rows, window, first=b == 0)
     return out.select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)), "n_words", "hits", "items")
