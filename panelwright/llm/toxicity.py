@@ -58,6 +58,12 @@ class Field:
     line: tuple[float, float, float, float]
 
 
+def words_of(text: str) -> list[str]:
+    """The text's own words, each in lower case: as many as their places, also where lower case changes a length."""
+    low = text.lower()
+    return re.findall(WORD, low) if len(low) == len(text) else [w.lower() for w in re.findall(WORD, text)]
+
+
 class Tagger:
     def __init__(self, field: Field):
         self.field, self.word, self.plain = field, re.compile(WORD), {}
@@ -88,8 +94,7 @@ class Tagger:
 
     def evidence(self, text: str) -> tuple[float, float, int, list[dict[str, int]]]:
         """The largest marginal, their sum, their number, and the spans of tokens more likely toxic than not."""
-        low = text.lower()
-        words = self.word.findall(low)
+        words = words_of(text)
         if not words:
             return 0.0, 0.0, 0, []
         said = [self._weight(w) if w[:3] in self.heads else 1.0 for w in words]
@@ -101,9 +106,7 @@ class Tagger:
         marginals = self._marginals(said)
         spans: list[dict[str, int]] = []
         if max(marginals) >= 0.5:
-            # Lower-casing may change the length of a text; its own words then have the places.
-            found = self.word.finditer(low if len(low) == len(text) else text)
-            for i, (m, p) in enumerate(zip(found, marginals)):
+            for i, (m, p) in enumerate(zip(self.word.finditer(text), marginals, strict=True)):
                 if p >= 0.5:
                     if spans and spans[-1]["last"] == i - 1:
                         spans[-1] |= {"end": m.end(), "last": i}
@@ -135,11 +138,10 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_DOCS) -> DataF
 def evidence(sample: DataFrame, limit: int = MAX_FEATURES) -> dict[str, float]:
     """Features that set toxic documents apart, strongest first, with their evidence."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(WORD)
         for batch in parts(batches, 64):
             words, toxic = [], []
             for text, says in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(pattern.findall(text.lower()))
+                own = set(words_of(text))
                 words += own
                 toxic += [says] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
@@ -166,11 +168,10 @@ def segments(sample: DataFrame, features: dict[str, float], limit: int = MAX_SEG
     known = frozenset(features)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(WORD)
         for batch in parts(batches, 64):
             tokens, marks, some = [], [], []
             for text, says in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = pattern.findall(text.lower())
+                words = words_of(text)
                 for at in range(0, len(words), SEGMENT):
                     own = words[at:at + SEGMENT]
                     tokens.append(own)
