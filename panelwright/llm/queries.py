@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, packing, quality, secrets, simhash, token_counts, token_store, toxicity, urls, warc
+from panelwright.llm import conversations, decontaminate, packing, quality, secrets, simhash, token_counts, token_store, toxicity, urls, warc
 from panelwright.llm.common import cut, shared_folder, table
 
 
@@ -89,9 +89,15 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(files)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digests(turns, cut(conversations.audits(turns)))
+
+
 QUERIES = {f.__name__: f for f in (
     pipeline, op1_warc, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, op5_url_filters, op6_quality_rules,
-    op7_toxicity, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output)}
+    op7_toxicity, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output,
+    op13_conversation_repair)}
 #: SQL for operators whose results SQL can express: not those with a tokenizer, a fitted model or an entropy window.
 #: That of op5 runs every pattern on every URL, where the operator runs those that its index fetches.
 ORACLES: dict[str, str] = {
