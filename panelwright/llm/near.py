@@ -1,19 +1,26 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Candidates come from two sides: fingerprints of simhash that link, and sketches. A sketch is the least values of
-BANDS x ROWS hash functions over a text's shingles; texts that agree in a whole band share a bucket, which at a similarity
-of 0.8 happens with a probability of 1 - (1 - 0.8^4)^20 = 0.99998. Whether a candidate pair is similar is then counted on
-the whole shingle sets, so that a pair which isn't is never linked.
+Candidates come from two sides: SimHash fingerprints that link, and sketches. A sketch is the least values of BANDS x ROWS
+hash functions over a text's shingles; texts that agree in a whole band share a bucket, which at a similarity of 0.8
+happens with a probability of 1 - (1 - 0.8^5)^20 = 0.9996, at 0.5 of 0.47, and at 0.2 of 0.006. Whether a candidate pair is
+similar is then counted on the whole shingle sets, so that a pair which isn't is never linked. SimHash's two bits reach
+few pairs of 0.8; most links come from the sketches.
 
-Each member of a bucket is first compared with the least one of it. Only members that these links leave in different
-components are paired with each other, so that a group of many copies costs about its size and not the square of it.
+Each member of a bucket is first compared with its least and its greatest one. What these links leave outside of a
+bucket's largest component is then compared with all its members, in pieces of PIECE by PIECE members, of which a
+task holds one at a time and gives out only pairs of different components whose sketches and sizes allow a similarity of 0.8.
+So a group of many copies costs its size, one with stragglers its size times their number, and no pairs of a bucket are
+written out. Of a group, links to its representatives and the membership are kept.
+
+Texts are told apart by their SHA-256; distinct ones get a number, by which they are joined.
 
 Defined cases: null, empty and blank texts are equal; texts of fewer words than a shingle are one shingle; an empty
-table gives an empty result. Case of A-Z and white space don't count.
+table gives an empty result. Case of A-Z and white space don't count for similarity. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,105 +30,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import simhash
-from panelwright.llm.common import cut, parts, utf8_of
+from panelwright.llm.common import cut, parts, portions, utf8_of
 
-BANDS, ROWS = 20, 4
-#: Functions of BANDS * ROWS that agree for a pair to be counted; at 0.8, 64 do, with a deviation of 3.6.
-AGREE = 44
+BANDS, ROWS = 20, 5
+#: Functions of BANDS * ROWS that agree for a pair to be counted; at 0.8, 80 do, with a deviation of 4.
+AGREE = 60
+#: Members of a bucket on each side of a comparison in one task, about.
+PIECE = 256
 _RNG = np.random.default_rng(8)
 _XOR = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
-def sketch(text: bytes, words: int) -> np.ndarray:
-    """The least value of each function over the shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def described(text: bytes, words: int) -> tuple[int, np.ndarray, int]:
+    """Fingerprint, least value of each function, and number of different shingles."""
+    least, votes, n, sets = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), np.zeros(simhash.BITS, np.int64), 0, []
     for block in simhash.shingles(text, words):
-        for at in range(0, len(block), 2048):
-            least = np.minimum(least, ((block[at:at + 2048][None, :] ^ _XOR) * _ODD).min(axis=1))
-    return least
+        own = np.unique(block)
+        sets.append(own)
+        for at in range(0, len(own), 1024):
+            least = np.minimum(least, ((own[at:at + 1024][None, :] ^ _XOR) * _ODD).min(axis=1))
+        for at in range(0, len(block), 8192):
+            bits = np.unpackbits(block[at:at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            votes += bits.sum(axis=0, dtype=np.int64)
+        n += len(block)
+    fp = int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big") if text.strip() else 0
+    return fp, least, len(sets[0]) if len(sets) == 1 else len(np.unique(np.concatenate(sets)))
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, content, fp, keys (of the bands) and low (a byte of each function's value) of every row."""
-    source = docs.select("doc_id", "content", utf8_of().alias("utf8"))
+    """doc_id, digest of the text, fp, size (different shingles), keys (of the bands) and low (a byte of each function's value)."""
+    source = docs.select("doc_id", utf8_of().alias("utf8"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            fps, keys, low = [], [], []
-            for text in batch.column(2).to_pylist():
-                least = sketch(text, words)
-                fps.append(simhash.fingerprint(text, words))
-                keys.append(np.array([xxhash.xxh64_intdigest(least[i:i + ROWS].tobytes(), i) for i in range(0, BANDS * ROWS, ROWS)],
-                                     np.uint64).view(np.int64))
-                low.append(least.astype(np.uint8).tobytes())
+        for batch in (b for p in parts(batches) for b in portions([p], 1)):
+            texts = batch.column(1).to_pylist()
+            found = [described(t, words) for t in texts]
+            keys = [np.array([xxhash.xxh64_intdigest(least[i:i + ROWS].tobytes(), i) for i in range(0, BANDS * ROWS, ROWS)],
+                             np.uint64).view(np.int64) for _, least, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(low, pa.binary())], names=["doc_id", "content", "fp", "keys", "low"])
+                [batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
+                 pa.array(np.array([fp for fp, _, _ in found], np.uint64).view(np.int64)), pa.array([n for _, _, n in found], pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64())), pa.array([least.astype(np.uint8).tobytes() for _, least, _ in found], pa.binary())],
+                names=["doc_id", "digest", "fp", "size", "keys", "low"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, content long, fp long, keys array<long>, low binary")
+    return source.mapInArrow(run, f"doc_id {kind}, digest binary, fp long, size long, keys array<long>, low binary")
+
+
+def _lows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
 
 def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
+            yield batch.select([0, 1]).filter(pa.array((_lows(batch.column(2)) == _lows(batch.column(3))).sum(axis=1) >= AGREE))
+
+
+def _crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of different components of one piece: rows of out, all (lists of id, root, size, low)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            (ida, ra, na, la), (idb, rb, nb, lb) = (
+                (*(np.array([m[k] for m in row[side]], np.int64) for k in ("id", "root", "size")), [m["low"] for m in row[side]]) for side in ("out", "every"))
+            a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS) for x in (la, lb))
+            fit = (ra[:, None] != rb[None, :]) & (5 * na[:, None] >= 4 * nb[None, :]) & (5 * nb[None, :] >= 4 * na[:, None])
+            i, j = np.nonzero(fit)
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                near = (a[x] == b[y]).sum(axis=1) >= AGREE
+                low, high = np.minimum(ida[x[near]], idb[y[near]]), np.maximum(ida[x[near]], idb[y[near]])
+                if len(low):
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts([batch], 64):
             own = [np.unique(np.concatenate([*simhash.shingles(t, words)])).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["content", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+
+def _beside(pairs: DataFrame, own: DataFrame, value: str) -> DataFrame:
+    """The pairs a, b with the value of both in `own` (id, value)."""
+    for side in "ab":
+        pairs = pairs.join(own.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}")), side)
+    return pairs.select("a", "b", f"{value}_a", f"{value}_b")
+
+
+def likely(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs a, b whose sketches allow a similarity of 0.8 or more."""
+    return _beside(pairs, distinct, "low").mapInArrow(_likely, "a long, b long")
 
 
 def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs a, b of contents with a similarity of 0.8 or more."""
-    def both(own: DataFrame, value: str) -> DataFrame:
-        out = pairs
-        for side in "ab":
-            out = out.join(own.select(F.col("content").alias(side), F.col(value).alias(f"{value}_{side}")), side)
-        return out.select("a", "b", f"{value}_a", f"{value}_b")
-
-    pairs = cut(both(distinct, "low").mapInArrow(_likely, "a long, b long"))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    texts = docs.select("content", utf8_of().alias("utf8")).join(named, "content", "left_semi").dropDuplicates(["content"])
-    sets = cut(texts.mapInArrow(lambda batches: _sets(batches, words), "content long, shingles array<long>"))
+    """The pairs a, b of numbered texts with a similarity of 0.8 or more. `pairs` is read twice: cut it before."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "digest"), "id")
+    texts = docs.select(F.unhex(F.sha2(utf8_of(), 256)).alias("digest"), utf8_of().alias("utf8"))
+    texts = texts.join(named, "digest").dropDuplicates(["id"]).select("id", "utf8")
+    sets = cut(texts.mapInArrow(lambda batches: _sets(batches, words), "id long, shingles array<long>"))
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     # shared / (all - shared) >= 4 / 5
-    return cut(both(sets, "shingles").where(9 * shared >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
+    return cut(_beside(pairs, sets, "shingles").where(9 * shared >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
+
 
+def _pieces(members: DataFrame, roots: DataFrame, distinct: DataFrame) -> DataFrame:
+    """For each bucket with several components, those outside of its largest one (out) beside all members (every), in pieces."""
+    rooted = cut(members.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select(
+        "key", "id", F.coalesce("root", "id").alias("root")))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    deal = apart.select("key", "main", F.ceil((F.col("all") - F.col("most")) / PIECE).cast("int").alias("outs"), F.ceil(F.col("all") / PIECE).cast("int").alias("alls"))
+    rows = rooted.join(deal, "key").join(distinct.select("id", "size", "low"), "id")
+    own = F.struct("id", "root", "size", "low")
 
-def groups(docs: DataFrame, words: int = 5, radius: int = 5, segments: int = 3) -> DataFrame:
-    """doc_id, content and root of every row of `docs` (doc_id, content, which is a hash of the text, and text): rows with
-    the same root are linked by pairs with a similarity of 0.8 or more."""
+    def dealt(by: str, across: str) -> tuple:
+        return F.pmod(F.xxhash64("id"), by).cast("int"), F.explode(F.sequence(F.lit(0), F.col(across) - 1))
+
+    at, over = dealt("outs", "alls")
+    out = rows.where("root != main").select("key", at.alias("o"), over.alias("m"), own.alias("out"), F.lit(None).cast(
+        "struct<id:bigint,root:bigint,size:bigint,low:binary>").alias("every"))
+    at, over = dealt("alls", "outs")
+    every = rows.select("key", at.alias("m"), over.alias("o"), F.lit(None).cast("struct<id:bigint,root:bigint,size:bigint,low:binary>").alias("out"), own.alias("every"))
+    return out.unionByName(every).groupBy("key", "o", "m").agg(F.collect_list("out").alias("out"), F.collect_list("every").alias("every")).select("out", "every")
+
+
+def groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, digest and root of every row of `docs` (doc_id, text): rows with the same root are linked by pairs with a
+    similarity of 0.8 or more."""
     rows = cut(sketches(docs, words))
-    distinct = cut(rows.drop("doc_id").dropDuplicates(["content"]))
-    # Keys of buckets: of bands, and of equal fingerprints.
-    held = distinct.select("content", F.posexplode(F.concat("keys", F.array("fp"))).alias("band", "key"))
-    shared = held.groupBy("band", "key").agg(F.min("content").alias("a"), F.max("content").alias("most")).where("a < most")
-    shared = cut(shared.drop("most"))
-    members = cut(held.join(shared, ["band", "key"]))
-    least = cut(distinct.groupBy("fp").agg(F.min("content").alias("content")))
-    linked = simhash.links(least.select("fp"), radius, segments)
+    distinct = cut(rows.drop("doc_id").dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()))
+    held = distinct.select("id", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
+    shared = cut(held.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"))
+    members = cut(held.join(shared, "key"))
+    alike = cut(distinct.groupBy("fp").agg(F.min("id").alias("id")))
+    linked = simhash.links(alike.select("fp"))
     for side in "ab":
-        own = least.select(F.col("fp").alias(side), F.col("content").alias(f"{side}_content"))
-        linked = linked.join(own, side)
-    linked = linked.select(F.least("a_content", "b_content").alias("a"), F.greatest("a_content", "b_content").alias("b"))
-    tried = cut(members.where("a < content").select("a", F.col("content").alias("b")).unionByName(linked).distinct())
+        linked = linked.join(alike.select(F.col("fp").alias(side), F.col("id").alias(f"{side}_id")), side)
+    linked = linked.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    stars = [members.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")),
+             members.where("id < most").select(F.col("id").alias("a"), F.col("most").alias("b"))]
+    tried = cut(likely(stars[0].unionByName(stars[1]).unionByName(linked).distinct(), distinct))
     found = similar(tried, distinct, docs, words)
+    pieces = _pieces(members, cut(simhash.components(found)), distinct)
+    left = cut(pieces.mapInArrow(_crossed, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    if not left.isEmpty():
+        found = found.unionByName(similar(left, distinct, docs, words))
     roots = cut(simhash.components(found))
-    rooted = members.join(roots, F.col("content") == F.col("node"), "left").select(
-        "band", "key", "content", F.coalesce("root", "content").alias("root"))
-    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rooted = cut(rooted.join(apart, ["band", "key"], "left_semi"))
-    one = rooted.select("band", "key", F.col("content").alias("a"), F.col("root").alias("root_a"))
-    other = rooted.select("band", "key", F.col("content").alias("b"), F.col("root").alias("root_b"))
-    left = one.join(other, ["band", "key"]).where("a < b and root_a != root_b").select("a", "b").distinct().join(
-        tried, ["a", "b"], "left_anti")
-    found = found.unionByName(similar(left, distinct, docs, words))
-    roots = cut(simhash.components(found))
-    return rows.select("doc_id", "content").join(roots, F.col("content") == F.col("node"), "left").select(
-        "doc_id", "content", F.coalesce("root", "content").alias("root"))
+    named = distinct.select("digest", "id").join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
+    return rows.select("doc_id", "digest").join(named, "digest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import conversations, decontaminate, negatives, packing, quality, secrets, simhash, token_counts, token_store, toxicity, urls, warc
+from panelwright.llm import conversations, decontaminate, licences, negatives, packing, quality, secrets, simhash, token_counts, token_store, toxicity, urls, warc
 from panelwright.llm.common import cut, shared_folder, table
 
 
@@ -89,6 +89,17 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(files)
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.weights(docs))
+    base, labels = F.col("base.label"), F.concat("base.label", "matches.label")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
+        F.round(F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)), 6).alias("score"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.whole_numbers(table(spark, sf_dir, "embeddings"))
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -103,7 +114,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     pipeline, op1_warc, op2_best_fit_packing, op3_secret_scans, op4_simhash_dedup, op5_url_filters, op6_quality_rules,
     op7_toxicity, op8_benchmark_decontamination, op9_token_counts, op10_token_id_output,
-    op12_hard_negatives, op13_conversation_repair)}
+    op11_license_scans, op12_hard_negatives, op13_conversation_repair)}
 #: SQL for operators whose results SQL can express: not those with a tokenizer, a fitted model or an entropy window.
 #: That of op5 runs every pattern on every URL, where the operator runs those that its index fetches.
 ORACLES: dict[str, str] = {
@@ -137,6 +148,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_license_scans": licences.sql(),
     "op12_hard_negatives": """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
           AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -146,5 +158,5 @@ ORACLES: dict[str, str] = {
           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
         SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
         FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
-        QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)""",
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5""",
 }

@@ -3,9 +3,10 @@
 import collections
 import random
 
+import pytest
+
 import corpus_pipeline
 from panelwright.llm import near
-from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,11 +51,13 @@ def made():
     return out
 
 
-def test_near_copies_are_those_of_a_brute_force_count(spark):
+@pytest.mark.parametrize("piece", [3, 256])
+def test_near_copies_are_those_of_a_brute_force_count(spark, monkeypatch, piece):
+    monkeypatch.setattr(near, "PIECE", piece)
     texts = made()
     roots, pairs = brute(texts)
     assert len(pairs) > 150
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("content", F.xxhash64("text"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = collections.defaultdict(set)
     for r in near.groups(docs).collect():
         found[r["root"]].add(r["doc_id"])
@@ -65,6 +68,25 @@ def test_near_copies_are_those_of_a_brute_force_count(spark):
     assert near.groups(docs.limit(0)).count() == 0
 
 
+def test_no_pair_of_a_large_group_is_lost(spark):
+    """A chain of texts that share buckets in plenty, of which only neighbours are near."""
+    rng = random.Random(6)
+    base, texts = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)], []
+    for i in range(120):
+        for k in rng.sample(range(200), 3):
+            base[k] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(base))
+    roots, _ = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in near.groups(docs).collect():
+        found[r["root"]].add(r["doc_id"])
+    expected = collections.defaultdict(set)
+    for i, r in enumerate(roots):
+        expected[r].add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_the_stage_keeps_one_of_each_group(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
