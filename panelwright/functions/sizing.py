@@ -30,6 +30,17 @@ def attach_by_day(big: DataFrame, per_day: DataFrame, on, span: int | None, limi
     return big.join(F.broadcast(per_day) if small else per_day, on, how)
 
 
+#: A table is broadcast if its rows, at the size of their types, take no more.
+BROADCAST_BYTES = 32 << 20
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a stored table of columns of fixed size, and short strings counted as 64 bytes, is small enough to broadcast."""
+    width = sum(64 if f.dataType.simpleString() == "string" else 16 for f in df.schema.fields)
+    most = BROADCAST_BYTES // max(1, width)
+    return df.limit(most + 1).count() <= most
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the cluster's checkpoint folder.
 

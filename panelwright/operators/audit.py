@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions import ranks
 from panelwright.operators.signals import TIERS, conviction
 from panelwright.params import JobParams
 
@@ -18,13 +19,16 @@ def tiered(oof: DataFrame, params: JobParams = JobParams()) -> DataFrame:
 
 
 def tier_table(tiers: DataFrame) -> DataFrame:
-    """Count, mean prediction, realised mean and median, and hit rate per populated tier."""
+    """Count, mean prediction, realised mean and median, and hit rate per populated tier.
+
+    The median is selected by counts of ranges, so a tier's returns are never gathered or sorted whole.
+    """
     order = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")).cast("int")
-    return tiers.groupBy("tier").agg(
+    means = tiers.groupBy("tier").agg(
         F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"),
-        F.avg("y").alias("mean_realized"), F.percentile("y", F.lit(0.5)).alias("median_realized"),
-        F.avg((F.col("y") > 0).cast("double")).alias("hit_rate"),
-    ).withColumn("tier_order", order)
+        F.avg("y").alias("mean_realized"), F.avg((F.col("y") > 0).cast("double")).alias("hit_rate"))
+    middle = ranks.percentile(tiers, "tier", "y").withColumnRenamed("y", "median_realized")
+    return means.join(middle, "tier", "left").withColumn("tier_order", order)
 
 
 def verdict(table: DataFrame) -> DataFrame:

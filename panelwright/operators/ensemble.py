@@ -116,10 +116,11 @@ def vote_percentile(votes: Column, pct: float) -> Column:
 def out_of_fold(panel: DataFrame, roles: DataFrame, params: JobParams) -> DataFrame:
     """Predictions of both learners on every validation row, with the vote deviation.
 
-    ``panel`` (normalised, persisted) is filtered per fold; ``roles`` is the
-    per-day fold table. Folds are independent jobs and are submitted together.
+    ``panel`` (normalised, stored) is assembled once and filtered per fold;
+    ``roles`` is the per-day fold table. A fold's training rows are kept while
+    both learners read them. Folds are independent jobs, submitted together.
     """
-    rows = assembled(panel).select("date", "ticker", "x", "y")
+    rows = assembled(panel).select("date", "ticker", "x", "y").persist()
     folds = [r["fold"] for r in roles.select("fold").distinct().orderBy("fold").collect()]
 
     def part(fold: int, role: str) -> DataFrame:
@@ -127,7 +128,9 @@ def out_of_fold(panel: DataFrame, roles: DataFrame, params: JobParams) -> DataFr
         return rows.join(days, "date", "left_semi")
 
     def one(fold: int) -> DataFrame:
-        models = fit_base(part(fold, "train"), params)
+        train = part(fold, "train").select("x", "y").persist()
+        models = fit_base(train, params)
+        train.unpersist()
         scored = models.predict(part(fold, "val")).withColumn("fold", F.lit(fold))
         voted = tree_votes(scored, leaf_table(models, "fold", fold), "fold")
         return voted.select("date", "ticker", "fold", "rf", "gb",
@@ -138,6 +141,8 @@ def out_of_fold(panel: DataFrame, roles: DataFrame, params: JobParams) -> DataFr
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = sizing.cut(out)
+    rows.unpersist()
     return out
 
 

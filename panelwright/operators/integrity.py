@@ -29,11 +29,6 @@ def _row(df: DataFrame, name: str, passed: Column, measure: Column, detail: Colu
                      F.when(ok, "PASS").otherwise("FAIL").alias("status"))
 
 
-def _literal(spark: SparkSession, name: str, passed: bool, measure: str, detail: str,
-             gating: bool = False) -> DataFrame:
-    return _row(spark.range(1), name, F.lit(passed), F.lit(measure), F.lit(detail), gating)
-
-
 def _fixed(x: Column, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits}f", x)
 
@@ -75,7 +70,8 @@ def lookahead_changes(bars: DataFrame, params: JobParams = JobParams(), seed: in
     pairs = base.select("ticker", "date", F.array(*FEATURES).alias("a")).join(
         other.select("ticker", "date", F.array(*FEATURES).alias("b")), ["ticker", "date"], "full_outer")
     gap = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
-    marked = pairs.join(cut, "ticker").withColumn("gap", gap).withColumn(
+    # From the cut's side: a ticker that has history but no feature rows stays, with nothing compared.
+    marked = cut.join(pairs, "ticker", "left").withColumn("gap", gap).withColumn(
         "early", F.col("date") <= F.col("cut"))
     return marked.groupBy("ticker", "cut").agg(
         F.sum(F.when(F.col("early"), 1).otherwise(0)).alias("rows_compared"),
@@ -86,9 +82,11 @@ def lookahead_changes(bars: DataFrame, params: JobParams = JobParams(), seed: in
 
 def no_lookahead(changes: DataFrame) -> DataFrame:
     agg = changes.agg(F.count(F.lit(1)).alias("n"), F.sum("rows_compared").alias("rows"),
-                      F.sum("unmatched").alias("unmatched"), F.max("max_before").alias("gap"))
+                      F.sum(F.col("unmatched") + F.when(F.col("rows_compared") == 0, 1).otherwise(0)).alias("unmatched"),
+                      F.max("max_before").alias("gap"))
     ok = (F.col("n") > 0) & (F.col("unmatched") == 0) & (F.col("gap") == 0.0)
-    measure = (F.when(F.col("n") == 0, "n/a").when(F.col("unmatched") > 0, "index mismatch")
+    measure = (F.when(F.col("n") == 0, "n/a")
+               .when(F.col("unmatched") > 0, F.concat(F.lit("without a counterpart: "), F.col("unmatched").cast("string")))
                .otherwise(F.concat(F.lit("max change at or before t: "), F.format_string("%.2e", "gap"))))
     detail = F.when(F.col("n") == 0, "no ticker has enough history").otherwise(
         F.concat(F.lit("rows compared: "), F.col("rows").cast("string"),
@@ -150,12 +148,11 @@ def costs_active(perf: DataFrame, params: JobParams = JobParams(), lead: str = "
     paid = (F.col("own") > 0) | (F.col("ew") > 0)
     return _row(
         agg, "Costs applied", fine & paid & F.lit(params.cost_bps >= MIN_COST_BPS),
-        F.when(~fine, "no backtest").otherwise(F.concat(
+        F.when(~fine, "window not run").otherwise(F.concat(
             F.lit(f"{params.cost_bps:.0f} bps per side, strategy "), _fixed(F.col("own"), 0),
             F.lit(" at turnover "), _fixed(F.col("turn") * 100, 0), F.lit(" %/yr, equal weight "),
             _fixed(F.col("ew"), 0))),
-        F.when(~fine, F.col("err")).when(F.col("own") > 0, "charged on every traded dollar")
-        .otherwise("strategy traded nothing; equal weight shows costs are charged"))
+        F.when(~fine, F.col("err")).otherwise(F.format_string("paid: strategy %.0f, equal weight %.0f", "own", "ew")))
 
 
 def benchmarks_present(perf: DataFrame, lead: str = "strategy") -> DataFrame:
@@ -168,7 +165,7 @@ def benchmarks_present(perf: DataFrame, lead: str = "strategy") -> DataFrame:
     names = F.concat_ws(", ", F.when(F.col("ew"), "equal_weight"), F.when(F.col("ix"), "index"))
     return _row(
         agg, "Benchmarks on identical dates", fine & F.col("ew"),
-        F.when(~fine, "no backtest").otherwise(F.concat(
+        F.when(~fine, "window not run").otherwise(F.concat(
             F.lit("present: "), F.when(names == "", "none").otherwise(names))),
         F.when(~fine, F.col("err")).when(F.col("ix"), "index available").otherwise("index unavailable"))
 
@@ -201,9 +198,15 @@ def feature_lag(r2: DataFrame) -> DataFrame:
             F.lit("real "), _fixed(F.col("real")), F.lit(", lagged "), _fixed(F.col("lagged")))))
 
 
-def survivorship(spark: SparkSession) -> DataFrame:
-    return _literal(spark, "Survivorship bias disclosed", True, "current constituents only",
-                    "the universe holds today's survivors; equal weight shares that set")
+def survivorship(rows: DataFrame) -> DataFrame:
+    """How many tickers are still there in the last month of all rows (ticker, date). A disclosure, so it always passes."""
+    last = rows.groupBy("ticker").agg(F.max("date").alias("last"))
+    end = last.agg(F.max("last").alias("end"))
+    agg = last.crossJoin(F.broadcast(end)).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.datediff("end", "last") <= 31).cast("int")), F.lit(0)).alias("live"))
+    return _row(agg, "Survivors in the universe", F.lit(True),
+                F.format_string("%d of %d tickers have rows in the last 31 days", "live", "n"),
+                F.format_string("tickers that ended earlier: %d", F.col("n") - F.col("live")))
 
 
 def gate(checks: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def report(spark: SparkSession, *, changes: DataFrame, feats: DataFrame, summary
              costs_active(perf, params), benchmarks_present(perf), permutation_gate(r2)]
     if run_lag:
         parts.append(feature_lag(r2))
-    parts.append(survivorship(spark))
+    parts.append(survivorship(feats))
     out = parts[0].withColumn("ord", F.lit(0))
     for i, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.withColumn("ord", F.lit(i)))

@@ -8,11 +8,15 @@ rolled forward in one job.
 Everything scales with the portfolio value, so a rebalance is described by two
 numbers per (strategy, k): ``scale``, the share of value left for targets after
 the estimated cost, and ``cash``. They depend on the previous rebalance only
-through the drifted holdings and only in proportion to the cost rate, so the
-recursion is solved by a fixed number of parallel passes, each one a grouped
-sum over (strategy, k): the error shrinks by about four cost rates per pass and
-ends below double precision. No strategy's holdings are ever gathered in one
-task.
+through the drifted holdings. Parallel passes over all rebalances solve the
+recursion: after pass p the first p rebalances of every strategy are final, and
+at usual cost rates all are after a few, as an error shrinks by about four cost
+rates a pass. Passes end when nothing changes any more.
+
+A pass puts the state beside the legs, adds up parts of each rebalance where the
+legs are, and only then by rebalance, so that one with very many legs is spread
+over tasks: the state is broadcast where its measured size allows, and is joined
+with salted keys where it doesn't.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from panelwright.functions import sizing, windows as w
 from panelwright.params import JobParams
 
 TRADE_FLOOR = 1.0
+#: Change of scale and cash below which a pass has changed nothing; parts a rebalance is dealt into where states are many.
+SETTLED = 1e-15
+SALTS = 64
 KEY = ["strategy", "k"]
 
 
@@ -66,16 +73,18 @@ def rebalance_dates(calendar: DataFrame, params: JobParams = JobParams()) -> Dat
     return picked.select(((F.col("pos") - start) / step).cast("int").alias("k"), "date", "end_date")
 
 
-def window_error(calendar: DataFrame, params: JobParams = JobParams()) -> str | None:
-    """Why a backtest over this calendar cannot run, or None."""
-    n = calendar.count()
-    if n == 0:
-        return "No common dates"
-    if n < 100:
-        return f"Only {n} common trading days"
-    if rebalance_dates(calendar, params).count() < 2:
-        return "No rebalance periods"
-    return None
+#: Why a window can't be run: codes, in the order of the tests.
+NO_DAYS, FEW_DAYS, NO_PERIODS = "no_common_days", "too_few_days", "no_periods"
+LEAST_DAYS, LEAST_REBALANCES = 100, 2
+
+
+def window_status(calendar: DataFrame, params: JobParams = JobParams()) -> DataFrame:
+    """One row: days, rebalances, and the code of why a backtest over this calendar can't run, or NULL."""
+    days = calendar.agg(F.count(F.lit(1)).alias("days"))
+    found = rebalance_dates(calendar, params).agg(F.count(F.lit(1)).alias("rebalances"))
+    code = (F.when(F.col("days") == 0, NO_DAYS).when(F.col("days") < LEAST_DAYS, FEW_DAYS)
+            .when(F.col("rebalances") < LEAST_REBALANCES, NO_PERIODS))
+    return days.crossJoin(found).select("days", "rebalances", code.alias("error"))
 
 
 # --------------------------------------------------------------- schedules
@@ -117,19 +126,12 @@ def rebalance_costs(current: DataFrame, target: DataFrame, terms: DataFrame) ->
 
 
 # ------------------------------------------------------------ roll-forward
-def passes_for(cost_rate: float) -> int:
-    """Passes until the remaining error is below double precision."""
-    shrink = max(4.0 * cost_rate, 1e-12)
-    if shrink >= 0.5:
-        raise ValueError("cost rate too high for the fixed-pass solution")
-    return math.ceil(37.0 / -math.log(shrink)) + 1
-
-
 def legs(closes: DataFrame, schedule: DataFrame, rebalances: DataFrame) -> DataFrame:
     """Per (strategy, k, ticker): target weight and drifted previous weight.
 
     Weights without a finite positive price are dropped. Row k = last+1 stands
-    for the valuation at the end date.
+    for the valuation at the end date. A holding without a price on the next
+    date is valued at its last one before.
     """
     per = Window.partitionBy("strategy").orderBy("k")
     dates = rebalances.select("strategy", "k", "date",
@@ -137,8 +139,13 @@ def legs(closes: DataFrame, schedule: DataFrame, rebalances: DataFrame) -> DataF
     px = closes.select("date", "ticker", w.finite(F.col("close").cast("double")).alias("p")).where("p > 0")
     after = px.select(F.col("date").alias("next"), "ticker", F.col("p").alias("p_next"))
     rows = schedule.join(dates, KEY).join(px, ["date", "ticker"]).join(after, ["next", "ticker"], "left")
+    # Only holdings without a price look for one in the days since the rebalance.
+    open_ = rows.where("p_next IS NULL").select("ticker", F.col("date").alias("bought"), "next").distinct()
+    seen = open_.join(px, "ticker").where("date >= bought AND date < next").groupBy("ticker", F.col("bought").alias("date"), "next").agg(
+        F.max_by("p", "date").alias("p_last"))
+    rows = rows.join(seen, ["ticker", "date", "next"], "left")
     rows = rows.select("strategy", "k", "ticker", "weight",
-                       (F.col("weight") * F.col("p_next") / F.col("p")).alias("drift"))
+                       (F.col("weight") * F.coalesce("p_next", "p_last") / F.col("p")).alias("drift"))
     both = (rows.select("strategy", "k", "ticker", "weight", F.lit(0.0).alias("drift"))
             .unionByName(rows.select("strategy", (F.col("k") + 1).alias("k"), "ticker",
                                      F.lit(0.0).alias("weight"), "drift")))
@@ -165,41 +172,48 @@ def _linked(state: DataFrame) -> DataFrame:
     return grown.withColumn("unit", F.coalesce(w.ratio(F.col("held"), F.col("growth")), F.lit(0.0))).drop("held")
 
 
-def _with_sums(state: DataFrame, rows: DataFrame, sums: dict) -> DataFrame:
-    """Add sums over each step's legs to the step itself.
+def _beside(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The legs with the state of their rebalance, without moving legs by rebalance alone."""
+    if sizing.fits_broadcast(state):
+        return rows.join(F.broadcast(state), KEY)
+    parts = F.pmod(F.xxhash64("ticker"), F.lit(SALTS)).cast("int")
+    dealt = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", parts).join(dealt, [*KEY, "part"]).drop("part")
 
-    The step's own columns ride through the aggregate, so a pass reads its
-    predecessor once and the plan grows by one join and one aggregate per pass.
-    Steps without legs keep their row.
-    """
-    own = [c for c in state.columns if c not in KEY]
-    joined = state.join(rows, KEY, "left")
-    return joined.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in own],
-                                    *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in sums.items()])
+
+def _with_sums(state: DataFrame, rows: DataFrame, sums: dict) -> DataFrame:
+    """Add sums over each step's legs to the step itself. Steps without legs keep their row."""
+    found = _beside(rows, state).groupBy(*KEY).agg(*[e.alias(n) for n, e in sums.items()])
+    return state.join(found, KEY, "left").select(
+        *state.columns, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in sums])
 
 
-def _solve(rows: DataFrame, steps: DataFrame, n_passes: int) -> DataFrame:
+def _solve(rows: DataFrame, steps: DataFrame) -> DataFrame:
     """Scale, cash, growth and drift factor per (strategy, k)."""
     state = _with_sums(steps, rows, {"sum_w": F.sum("weight"), "sum_d": F.sum("drift")})
-    state = state.withColumns({
-        "scale": F.lit(1.0), "cash": 1.0 - F.col("invest_fraction") * F.col("sum_w")})
+    state = sizing.cut(state.withColumns({
+        "scale": F.lit(1.0), "cash": 1.0 - F.col("invest_fraction") * F.col("sum_w")}))
     goal = F.col("invest_fraction") * F.col("weight")
     have = F.col("unit") * F.col("drift")
-    for _ in range(n_passes):
+    last = state.agg(F.max("k")).first()[0]
+    for _ in range(0 if last is None else last + 1):
         summed = _with_sums(_linked(state), rows, {
             "est": F.sum(F.abs(goal - have)), "traded": F.sum(F.abs(goal * F.col("scale") - have))})
         scale = 1.0 - F.col("cost_rate") * F.col("est")
         cash = F.greatest(F.lit(0.0), 1.0 - F.col("cost_rate") * F.col("traded")
                           - F.col("invest_fraction") * scale * F.col("sum_w"))
-        keep = [c for c in state.columns if c not in ("scale", "cash")]
-        # Checkpointed so each pass is planned on its own instead of as part
-        # of one ever longer plan; the state is one row per (strategy, k).
-        state = sizing.cut(summed.select(*keep, scale.alias("scale"), cash.alias("cash")))
-    return _linked(state)
+        keep = [c for c in state.columns if c not in ("scale", "cash", "moved")]
+        moved = F.abs(scale - F.col("scale")) + F.abs(cash - F.col("cash"))
+        # Stored, so each pass is planned on its own instead of as part of one
+        # ever longer plan; the state is one row per (strategy, k).
+        state = sizing.cut(summed.select(*keep, scale.alias("scale"), cash.alias("cash"), moved.alias("moved")))
+        if state.agg(F.max("moved")).first()[0] < SETTLED:
+            break
+    return _linked(state.drop("moved"))
 
 
 def roll_forward(closes: DataFrame, schedule: DataFrame, rebalances: DataFrame,
-                 policies: DataFrame, max_cost_rate: float) -> DataFrame:
+                 policies: DataFrame) -> DataFrame:
     """Ledger: one row per rebalance plus the end valuation of every strategy.
 
     ``rebalances`` carries ``strategy, k, date, end_date``. ``value`` is net of
@@ -207,7 +221,7 @@ def roll_forward(closes: DataFrame, schedule: DataFrame, rebalances: DataFrame,
     """
     rows = sizing.cut(legs(closes, schedule, rebalances))
     steps = sizing.cut(_steps(rebalances, policies))
-    solved = _solve(rows, steps, passes_for(max_cost_rate))
+    solved = sizing.cut(_solve(rows, steps))
     per = Window.partitionBy("strategy").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     valued = solved.withColumn("gross_value", F.col("capital") * F.product("growth").over(per))
     goal = F.col("invest_fraction") * F.col("weight") * F.col("scale")
@@ -253,14 +267,22 @@ def series_metrics(values: DataFrame, params: JobParams = JobParams(),
     return rows.withColumn("sharpe_ratio", sharpe)
 
 
-def performance(ledger: DataFrame, params: JobParams = JobParams(), lead: str = "strategy") -> DataFrame:
-    """Metrics, costs, annual turnover and active growth against the ``lead`` strategy."""
+def performance(ledger: DataFrame, params: JobParams = JobParams(), lead: str = "strategy",
+                policies: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+    """Metrics, costs, annual turnover and active growth against the ``lead`` strategy.
+
+    With ``policies`` and ``status`` (window_status) every strategy has a row: its metrics, or none of them and the error of a
+    window that can't be run.
+    """
     metrics = series_metrics(ledger.select("strategy", "date", "value"), params)
     flows = ledger.groupBy("strategy").agg(
         (F.avg("turnover") * params.periods_per_year).alias("turnover_annualized"),
         F.sum("cost").alias("total_costs"), F.sum("n_trades").alias("num_trades"))
     both = metrics.join(flows, "strategy")
-    own = both.where(F.col("strategy") == lead).select(F.col("cagr").alias("lead_cagr"), F.lit(1).alias("one"))
-    out = both.withColumn("one", F.lit(1)).join(F.broadcast(own), "one", "left")
-    return out.withColumn("active_cagr", F.when(F.col("strategy") != lead, F.col("lead_cagr") - F.col("cagr"))) \
-        .drop("one", "lead_cagr").withColumn("error", F.lit(None).cast("string"))
+    own = both.agg(F.max(F.when(F.col("strategy") == lead, F.col("cagr"))).alias("lead_cagr"))
+    out = both.crossJoin(F.broadcast(own)).withColumn(
+        "active_cagr", F.when(F.col("strategy") != lead, F.col("lead_cagr") - F.col("cagr"))).drop("lead_cagr")
+    if status is None:
+        return out.withColumn("error", F.lit(None).cast("string"))
+    fine = out.crossJoin(F.broadcast(status.select("error"))).where("error IS NULL").drop("error")
+    return policies.select("strategy").join(fine, "strategy", "left").crossJoin(F.broadcast(status.select("error")))

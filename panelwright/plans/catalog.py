@@ -17,14 +17,13 @@ from panelwright.functions import sizing
 from panelwright.operators import (allocation, audit, ensemble, falsify, features as ft, folds,
                                    integrity, ledger, panel as pn, scoring, signals as sg)
 from panelwright.operators.features import FEATURES
-from panelwright.params import JobParams, small_model
-from panelwright.plans import oracle as o, report, research
+from panelwright.params import JobParams
+from panelwright.plans import oracle as o, refits, report, research
 from panelwright.sources import bars as bs, snapshots as sn, universe as un
 
 P = JobParams()
-# Few small trees: the queries show the operators, not a tuned model.
-MODEL = small_model(n_folds=2, rf_trees=8, rf_depth=4, gb_rounds=2)
-WALK = MODEL.with_(rebalance_every=420, retrain_every=840, min_expected_return=0.0, backtest_min_return=0.0)
+#: Folds, depths, steps and thresholds are the defaults; trees are fewer, and leaves smaller, for the small tables.
+MODEL = P.with_(rf_trees=30, rf_leaf=20, gb_rounds=30, gb_leaf=20)
 #: Permutation rounds of the checks.
 SEEDS = [falsify.BASE_SEED + k for k in range(3)]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,15 +171,40 @@ class Stage:
         return allocation.optimise(self.covariance, P).persist()
 
     # ------------------------------------------------------------ models
+    @cached_property
+    def model_z(self) -> DataFrame:
+        """The panel without its lineage, which would ride in every task of every fit."""
+        return sizing.cut(self.z.select("date", "ticker", "y", *FEATURES))
+
     @cached_property
     def model(self) -> research.StackedModel:
-        return research.fit(self.z, MODEL)
+        return research.fit(self.model_z, MODEL)
+
+    @cached_property
+    def refits(self) -> tuple[refits.Refits, list]:
+        lagged = pn.build_panel(ft.lag_features(self.features, 1, P)).persist()
+        lagged_z = pn.normalise(lagged, "date", span=self.span).select("date", "ticker", "y", *FEATURES)
+        return refits.falsification(self.model_z, lagged_z, SEEDS, MODEL)
 
     @cached_property
     def falsification(self) -> DataFrame:
-        lagged = pn.normalise(pn.build_panel(ft.lag_features(self.features, 1, P)).persist(), "date",
-                              span=self.span).persist()
-        return research.falsification(self.z, lagged, MODEL).persist()
+        found, kinds = self.refits
+        return refits.named(found.calibration, kinds).persist()
+
+    @cached_property
+    def walk(self) -> tuple[DataFrame, DataFrame]:
+        """Schedule of refitted models over the common dates of the regions, and the calibration of every retrain."""
+        daily = self.bars("region")
+        feats = sizing.cut(ft.features(daily, P))
+        info = bs.instruments(self.spark, self.sf_dir, "region", daily)
+        schedule, fitted = refits.walk_forward(feats, daily, info, self.rebalances, MODEL, self.span)
+        return sizing.cut(schedule), fitted
+
+    @cached_property
+    def walk_ledger(self) -> DataFrame:
+        """The refitted models' schedule beside equal weight and the index, on the same dates."""
+        schedule = self.walk[0].unionByName(self.schedule.where("strategy <> 'strategy'"))
+        return ledger.roll_forward(self.ledger_closes, schedule, self.each_rebalance, self.strategies).persist()
 
     # ------------------------------------------------------------ ledger
     @cached_property
@@ -219,25 +243,25 @@ class Stage:
             "strategy string, invest_fraction double, cost_rate double, capital double")
 
     @cached_property
-    def ledger(self) -> DataFrame:
-        closes = self.bars("region").select("date", "ticker", F.col("close").cast("double").alias("close")) \
+    def ledger_closes(self) -> DataFrame:
+        return self.bars("region").select("date", "ticker", F.col("close").cast("double").alias("close")) \
             .unionByName(self.index_series.select("date", F.lit("INDEX").alias("ticker"), "close"))
-        names = self.strategies.select("strategy")
-        each = names.select("strategy", F.lit(1).alias("one")).join(
-            self.rebalances.withColumn("one", F.lit(1)), "one").drop("one")
-        return ledger.roll_forward(closes, self.schedule, each, self.strategies, P.cost_rate).persist()
+
+    @cached_property
+    def each_rebalance(self) -> DataFrame:
+        return self.strategies.select("strategy").crossJoin(self.rebalances)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return ledger.roll_forward(self.ledger_closes, self.schedule, self.each_rebalance, self.strategies).persist()
+
+    @cached_property
+    def window_status(self) -> DataFrame:
+        return ledger.window_status(self.calendar, P).persist()
 
     @cached_property
     def performance(self) -> DataFrame:
-        why = ledger.window_error(self.calendar, P)
-        if why is None:
-            return ledger.performance(self.ledger, P).persist()
-        names = ["total_return", "cagr", "volatility", "max_drawdown", "final_value", "years", "sharpe_ratio",
-                 "turnover_annualized", "total_costs", "active_cagr"]
-        return self.strategies.select(
-            "strategy", *[F.lit(None).cast("double").alias(n) for n in names],
-            F.lit(None).cast("long").alias("n_periods"), F.lit(None).cast("long").alias("num_trades"),
-            F.lit(why).alias("error"))
+        return ledger.performance(self.ledger, P, policies=self.strategies, status=self.window_status).persist()
 
 
 _STAGES: dict[tuple[str, str], Stage] = {}
@@ -370,6 +394,108 @@ def _(s: Stage) -> DataFrame:
     return sn.scan_snapshot(s.spark, root, "prices", today).select("ticker", "date", *rs(OHLC, 4), "volume")
 
 
+def _written_files(s: Stage) -> str:
+    """Region bars as parquet files, and one file that is none."""
+    root = sizing.shared_path(s.spark, "landing")
+    s.bars("region").select(*[f.name for f in bs.BAR_SCHEMA]).repartition(5, "ticker").write.parquet(root)
+    path = s.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/part-broken.parquet")
+    out = path.getFileSystem(s.spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(b"cut off while it was written"))
+    out.close()
+    return root
+
+
+@query("landing_broken_file", o.bars("region"), f"SELECT ticker, date, {sr(OHLC, 4)}, volume FROM bars")
+def _(s: Stage) -> DataFrame:
+    """All rows of the readable files, though one file is broken."""
+    return sn.scan_files(s.spark, _written_files(s))[0].select("ticker", "date", *rs(OHLC, 4), "volume")
+
+
+@query("landing_broken_list", o.bars("region"), "SELECT 'part-broken.parquet' AS file, count(*) > 0 AS others_landed FROM bars")
+def _(s: Stage) -> DataFrame:
+    rows, lost = sn.scan_files(s.spark, _written_files(s))
+    landed = rows.agg((F.count("*") > 0).alias("others_landed"))
+    return lost.select(F.element_at(F.split("path", "/"), -1).alias("file")).crossJoin(landed)
+
+
+def _mixed_files(s: Stage) -> str:
+    """Region bars as CSV files with three headers, one of which lacks the volume."""
+    root, kept = sizing.shared_path(s.spark, "mixed"), s.bars("region")
+    first = kept.where("ticker LIKE 'A%'").select(
+        F.col("ticker").alias("Ticker"), F.col("date").alias("Date"), *[F.col(c).alias(c.title()) for c in sn.REQUIRED])
+    second = kept.where("ticker LIKE 'E%'").select(
+        *[F.col(c).alias(c.upper()) for c in reversed(sn.REQUIRED)], F.lit("x").alias("Note"), F.col("date").alias("DATE"), F.col("ticker").alias(" Ticker"))
+    third = kept.where("ticker LIKE 'M%'").select("ticker", "date", *sn.REQUIRED[:4])
+    for name, df in (("a", first), ("b", second), ("c", third)):
+        df.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(f"{root}/{name}")
+    return root
+
+
+@query("landing_mixed_headers", o.bars("region"), f"SELECT ticker, date, {sr(OHLC, 3)}, volume FROM bars WHERE ticker[1] IN ('A', 'E')")
+def _(s: Stage) -> DataFrame:
+    return sn.scan_mixed(s.spark, _mixed_files(s))[0].select("ticker", "date", *rs(OHLC, 3), "volume")
+
+
+@query("landing_mixed_rejected", o.bars("region"), "SELECT 'missing: volume' AS reason, count(DISTINCT ticker) > 0 AS some FROM bars WHERE ticker[1] = 'M'")
+def _(s: Stage) -> DataFrame:
+    return sn.scan_mixed(s.spark, _mixed_files(s))[1].groupBy("reason").agg((F.count("*") > 0).alias("some"))
+
+
+ZONES = ["UTC", "Asia/Tokyo", "America/New_York", "Australia/Sydney", "America/Los_Angeles", "Europe/Berlin", "Asia/Kolkata"]
+#: Of each line, an instant at some hour of its shipping day in UTC, and the zone of its source.
+HOUR = "(l_orderkey * 7 + l_linenumber * 5) % 24"
+
+
+@query("landing_wall_clock", None, f"""SELECT l_orderkey, l_linenumber, CAST(timezone({ZONES!r}[CAST(l_linenumber % 7 AS INTEGER) + 1],
+    timezone('UTC', date_trunc('day', l_shipdate) + to_hours(CAST({HOUR} AS INTEGER)))) AS DATE) AS day FROM lineitem""")
+def _(s: Stage) -> DataFrame:
+    """Instants as days on their own source's wall clock, whatever the session's zone."""
+    lines = bs.table(s.spark, s.sf_dir, "lineitem")
+    shipped = F.unix_date(F.to_date(F.col("l_shipdate").cast("timestamp_ntz"))).cast("long") * 86400
+    instant = F.timestamp_seconds(shipped + F.expr(HOUR) * 3600)
+    zone = F.get(F.array(*map(F.lit, ZONES)), (F.col("l_linenumber") % 7).cast("int"))
+    return lines.select("l_orderkey", "l_linenumber", sn.wall_clock_date(instant, zone).alias("day"))
+
+
+@query("snapshot_info", SUP + [o.INFO], "SELECT ticker, sector, round(market_cap, 2) AS market_cap FROM info JOIN (SELECT DISTINCT ticker FROM bars) USING (ticker)")
+def _(s: Stage) -> DataFrame:
+    """Instrument rows written for two dates and read for one."""
+    import datetime as dt
+    root = sizing.shared_path(s.spark, "snapshots")
+    own = s.info.withColumn("short_name", F.col("ticker"))
+    sn.write_snapshot(own.withColumn("sector", F.lit("stale")), root, "info", dt.date(2024, 1, 1))
+    sn.write_snapshot(own, root, "info", dt.date(2024, 1, 2))
+    return sn.scan_snapshot(s.spark, root, "info", dt.date(2024, 1, 2)).select("ticker", "sector", r("market_cap", 2))
+
+
+@query("snapshot_universe", None, "SELECT CAST(n_nationkey AS INTEGER) AS ord, n_name AS ticker, 'stored' AS source FROM nation UNION ALL SELECT CAST(r_regionkey AS INTEGER), r_name, 'fallback' FROM region")
+def _(s: Stage) -> DataFrame:
+    """The list of a date that was stored, and the fallback for one that wasn't."""
+    import datetime as dt
+    root = sizing.shared_path(s.spark, "snapshots")
+    listed = bs.table(s.spark, s.sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("ticker"))
+    spare = bs.table(s.spark, s.sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("ord"), F.col("r_name").alias("ticker"))
+    sn.write_snapshot(listed, root, "universe", dt.date(2024, 1, 2))
+
+    def of(day: dt.date) -> DataFrame:
+        return un.with_fallback(sn.scan_snapshot(s.spark, root, "universe", day), spare)
+
+    return of(dt.date(2024, 1, 2)).withColumn("source", F.lit("stored")).unionByName(of(dt.date(2024, 1, 3)).withColumn("source", F.lit("fallback")))
+
+
+#: Account balances as a careless source would write them.
+SAID = ["{v}", " {v} ", "{v} USD", "inf", "-Infinity", "NaN", "", "1e400", None]
+
+
+@query("universe_numbers", None, """SELECT s_suppkey, round(CASE WHEN s_suppkey % 9 IN (0, 1) THEN s_acctbal ELSE 0 END, 4) AS number FROM supplier""")
+def _(s: Stage) -> DataFrame:
+    v = F.col("s_acctbal").cast("string")
+    told = F.array(*[F.lit(None).cast("string") if t is None else F.concat(F.lit(t.split("{v}")[0]), v, F.lit(t.split("{v}")[1])) if "{v}" in t else F.lit(t)
+                     for t in SAID])
+    return bs.table(s.spark, s.sf_dir, "supplier").select(
+        "s_suppkey", r(un.as_number(F.get(told, (F.col("s_suppkey") % 9).cast("int"))), 4, "number"))
+
+
 @query("snapshot_split", o.bars("nation"), """SELECT n_name AS ticker, n_name IN (SELECT ticker FROM bars) AS cached FROM nation""")
 def _(s: Stage) -> DataFrame:
     listed = bs.table(s.spark, s.sf_dir, "nation").select(F.col("n_name").alias("ticker"))
@@ -389,7 +515,7 @@ def _(s: Stage) -> DataFrame:
 def _(s: Stage) -> DataFrame:
     listed = bs.table(s.spark, s.sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("ticker"))
-    return un.capped(un.with_fallback(listed, listed.limit(0)), P)
+    return un.capped(listed, P)
 
 
 SCREEN_PARAMS = P.with_(min_market_cap=3000.0, min_avg_volume=25.5, min_price=90.0, max_price=115.0)
@@ -611,6 +737,19 @@ def _(s: Stage) -> DataFrame:
     return allocation.covariance_rows(s.covariance).select("as_of", "ticker_i", "ticker_j", r("cov", 10))
 
 
+SHORT = P.with_(trading_days=24)
+SHORT_COV = SIGNALS + [sql.replace("n <= 252", "n <= 24") for sql in o.returns()] + o.covariance()
+
+
+@query("covariance_short", SHORT_COV, "SELECT as_of, m, ti AS ticker_i, tj AS ticker_j, m < p + 5 AS diagonal, round(cov, 10) AS cov FROM cov JOIN (SELECT as_of, m, p FROM shr) USING (as_of)")
+def _(s: Stage) -> DataFrame:
+    """With 24 returns each, days of 20 candidates or more have a diagonal covariance, the others a shrunk one."""
+    cands = sg.candidates(s.signals, P.min_expected_return, P)
+    made = allocation.covariance(allocation.problems(allocation.trailing_returns(cands, s.bars(), SHORT))).persist()
+    size = made.select("as_of", "m", (F.col("m") < F.size("c") + allocation.SPARE_ROWS).alias("diagonal"))
+    return allocation.covariance_rows(made).join(size, "as_of").select("as_of", "m", "ticker_i", "ticker_j", "diagonal", r("cov", 10))
+
+
 @query("cap_feasibility", ALLOC, "SELECT as_of, feasible FROM feas")
 def _(s: Stage) -> DataFrame:
     return s.weights.select("as_of", "feasible").distinct()
@@ -727,11 +866,14 @@ def _(s: Stage) -> DataFrame:
         "ticker", "date", *rs(OHLC, 3), "volume")
 
 
-@query("lookahead_changes", LOOK, f"""SELECT ticker, cut, count(*) FILTER (early) AS rows_compared,
+CHANGES = f"""SELECT ticker, cut, count(*) FILTER (early) AS rows_compared,
     count(*) FILTER (early AND gap IS NULL) AS unmatched, coalesce(max(gap) FILTER (early), 0) AS max_before,
     coalesce(max(gap) FILTER (NOT early) > 0, FALSE) AS changed_after FROM
-    (SELECT ticker, date, cut, date <= cut AS early, CASE WHEN fa.ticker IS NOT NULL AND fb.ticker IS NOT NULL THEN {_gap()} END AS gap
-     FROM fa FULL OUTER JOIN fb USING (ticker, date) JOIN cut USING (ticker)) GROUP BY ticker, cut""")
+    (SELECT ticker, date, cut, date <= cut AS early, gap FROM cut LEFT JOIN (SELECT ticker, date, CASE WHEN fa.ticker IS NOT NULL AND fb.ticker IS NOT NULL
+     THEN {_gap()} END AS gap FROM fa FULL OUTER JOIN fb USING (ticker, date)) USING (ticker)) GROUP BY ticker, cut"""
+
+
+@query("lookahead_changes", LOOK, CHANGES)
 def _(s: Stage) -> DataFrame:
     return s.lookahead
 
@@ -749,33 +891,97 @@ def _(s: Stage) -> DataFrame:
 CHECK = ["name", "passed", "measure", "detail", "gating", "status"]
 
 
-@query("check_fingerprints", FEATS, """SELECT 'No ticker fingerprints' AS name, FALSE AS passed,
-    '1 static columns over ' || count(DISTINCT ticker) || ' tickers' AS measure, 'static columns: planted' AS detail,
-    FALSE AS gating, 'FAIL' AS status FROM feats""")
+def _spreads(source: str, extra: str = "") -> str:
+    """SQL for (ticker, feature, spread) of every feature, and of the planted one."""
+    cols = FEATURES + (["planted"] if extra else [])
+    ranges = ", ".join(f"CASE WHEN count({c}) > 1 THEN CAST(max({c}) AS DOUBLE) - min({c}) END AS {c}" for c in cols)
+    return f"""(SELECT ticker, feature, spread FROM (SELECT ticker, {ranges} FROM (SELECT *{extra} FROM {source}) GROUP BY ticker)
+        UNPIVOT (spread FOR feature IN ({', '.join(cols)})))"""
+
+
+PLANTED = ", CAST(length(ticker) AS FLOAT) AS planted"
+STATUS = "CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status"
+
+
+def _fingerprints(name: str, extra: str) -> str:
+    return f"""SELECT '{name}' AS name, n = 0 AS passed, n || ' static columns over ' || tickers || ' tickers' AS measure,
+        'static columns: ' || CASE WHEN n = 0 THEN 'none' ELSE names END AS detail, FALSE AS gating, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM
+        (SELECT count(DISTINCT feature) AS n, string_agg(DISTINCT feature, ', ' ORDER BY feature) AS names FROM {_spreads('feats', extra)} WHERE spread = 0),
+        (SELECT count(DISTINCT ticker) AS tickers FROM feats)"""
+
+
+@query("check_fingerprints_clean", FEATS, _fingerprints("No ticker fingerprints", ""))
+def _(s: Stage) -> DataFrame:
+    return integrity.no_fingerprints(s.features).select(*CHECK)
+
+
+@query("check_fingerprints", FEATS, _fingerprints("No ticker fingerprints", PLANTED))
 def _(s: Stage) -> DataFrame:
     return integrity.no_fingerprints(_static(s), FEATURES + ["planted"]).select(*CHECK)
 
 
-@query("check_folds", FOLDS + [f"fs AS ({FOLD_SUMMARY})"], """SELECT 'Temporal folds with embargo' AS name, bool_and(ordering_ok) AS passed,
+FOLD_CHECK = f"""SELECT *, {STATUS} FROM (SELECT 'Temporal folds with embargo' AS name, bool_and(ordering_ok) AS passed,
     'min gap ' || min(gap_trading_days) || ' against embargo 21 over ' || count(*) || ' folds' AS measure,
-    'every fold keeps the embargo' AS detail, FALSE AS gating, 'PASS' AS status FROM fs""")
+    CASE WHEN bool_and(ordering_ok) THEN 'every fold keeps the embargo' ELSE 'a fold breaks the embargo' END AS detail, FALSE AS gating FROM fs)"""
+
+
+@query("check_folds", FOLDS + [f"fs AS ({FOLD_SUMMARY})"], FOLD_CHECK)
 def _(s: Stage) -> DataFrame:
     return integrity.cv_ordering(s.fold_summary, P).select(*CHECK)
 
 
-@query("check_costs", PERF, """SELECT 'Costs applied' AS name, own > 0 OR ew > 0 AS passed, printf('10 bps per side, strategy %.0f at turnover %.0f %%/yr, equal weight %.0f', own, turn * 100, ew) AS measure,
-    'charged on every traded dollar' AS detail, FALSE AS gating, 'PASS' AS status FROM (SELECT max(total_costs) FILTER (strategy = 'strategy') AS own,
-    max(total_costs) FILTER (strategy = 'equal_weight') AS ew, max(turnover_annualized) FILTER (strategy = 'strategy') AS turn FROM perf)""")
+@query("check_folds_broken", FOLDS + [f"""fs AS (SELECT * REPLACE (CASE WHEN fold = 0 THEN 5 ELSE gap_trading_days END AS gap_trading_days,
+    CASE WHEN fold = 0 THEN 5 > 21 ELSE ordering_ok END AS ordering_ok) FROM ({FOLD_SUMMARY}))"""], FOLD_CHECK)
+def _(s: Stage) -> DataFrame:
+    """The first fold's gap is cut to five days: the check has to fail."""
+    first = F.col("fold") == 0
+    spoilt = s.fold_summary.withColumns({"gap_trading_days": F.when(first, 5).otherwise(F.col("gap_trading_days")),
+                                         "ordering_ok": F.when(first, F.lit(5) > P.embargo).otherwise(F.col("ordering_ok"))})
+    return integrity.cv_ordering(spoilt, P).select(*CHECK)
+
+
+def _costs(bps: float) -> str:
+    return f"""SELECT *, {STATUS} FROM (SELECT 'Costs applied' AS name, {bps} >= {integrity.MIN_COST_BPS} AND (own > 0 OR ew > 0) AS passed,
+        printf('{bps:.0f} bps per side, strategy %.0f at turnover %.0f %%/yr, equal weight %.0f', own, turn * 100, ew) AS measure,
+        printf('paid: strategy %.0f, equal weight %.0f', own, ew) AS detail, FALSE AS gating FROM (SELECT coalesce(max(total_costs) FILTER (strategy = 'strategy'), 0) AS own,
+        coalesce(max(total_costs) FILTER (strategy = 'equal_weight'), 0) AS ew, coalesce(max(turnover_annualized) FILTER (strategy = 'strategy'), 0) AS turn FROM perf))"""
+
+
+@query("check_costs", PERF, _costs(10.0))
 def _(s: Stage) -> DataFrame:
     return integrity.costs_active(s.performance, P).select(*CHECK)
 
 
-@query("check_benchmarks", PERF, """SELECT 'Benchmarks on identical dates' AS name, bool_or(strategy = 'equal_weight') AS passed,
-    'present: equal_weight, index' AS measure, 'index available' AS detail, FALSE AS gating, 'PASS' AS status FROM perf""")
+@query("check_costs_low", PERF, _costs(5.0))
+def _(s: Stage) -> DataFrame:
+    """Half the least rate: the check has to fail."""
+    return integrity.costs_active(s.performance, P.with_(cost_bps=5.0)).select(*CHECK)
+
+
+def _benchmarks(source: str) -> str:
+    return f"""SELECT *, {STATUS} FROM (SELECT 'Benchmarks on identical dates' AS name, coalesce(bool_or(strategy = 'equal_weight'), FALSE) AS passed,
+        'present: ' || coalesce(string_agg(strategy, ', ' ORDER BY strategy) FILTER (strategy <> 'strategy'), 'none') AS measure,
+        CASE WHEN bool_or(strategy = 'index') THEN 'index available' ELSE 'index unavailable' END AS detail, FALSE AS gating FROM {source})"""
+
+
+@query("check_benchmarks", PERF, _benchmarks("perf"))
 def _(s: Stage) -> DataFrame:
     return integrity.benchmarks_present(s.performance).select(*CHECK)
 
 
+@query("check_benchmarks_missing", PERF, _benchmarks("(SELECT * FROM perf WHERE strategy <> 'equal_weight')"))
+def _(s: Stage) -> DataFrame:
+    """Without equal weight the check has to fail."""
+    return integrity.benchmarks_present(s.performance.where("strategy <> 'equal_weight'")).select(*CHECK)
+
+
+@query("check_survivorship", FEATS, """SELECT 'Survivors in the universe' AS name, TRUE AS passed, count(*) FILTER (e - last <= 31) || ' of ' || count(*) || ' tickers have rows in the last 31 days' AS measure,
+    'tickers that ended earlier: ' || count(*) FILTER (e - last > 31) AS detail, FALSE AS gating, 'PASS' AS status FROM
+    (SELECT ticker, max(date) AS last FROM feats GROUP BY ticker), (SELECT max(date) AS e FROM feats)""")
+def _(s: Stage) -> DataFrame:
+    return integrity.survivorship(s.features).select(*CHECK)
+
+
 REFITS = OOF + o.refits(SEEDS)
 GATE = REFITS + [f"""gate AS (SELECT *, coalesce(top < {integrity.PERMUTATION_TOLERANCE}, FALSE) AS ok, lagged - real <= {integrity.LAG_TOLERANCE} AS lag_ok FROM
     (SELECT max(oof_r2) FILTER (kind = 'permuted') AS top, avg(oof_r2) FILTER (kind = 'permuted') AS mean, count(*) FILTER (kind = 'permuted') AS n,
@@ -822,13 +1028,38 @@ def _checks(s: Stage, with_rounds: bool) -> DataFrame:
         r2=s.refit_r2 if with_rounds else None, run_lag=with_rounds, params=P)
 
 
-@query("integrity_rollup", GATED, """SELECT 8 AS n_checks, 6 + CAST(ok AS INTEGER) + CAST(lag_ok AS INTEGER) AS n_passed, 1 AS n_gating, ok AS gate_ok,
-    CASE WHEN ok THEN 'PASSED' ELSE 'FAILED' END AS gate_state FROM perf, gate WHERE strategy = 'strategy'""")
+def _beside_perf(sql: str) -> str:
+    """Tables over the suppliers' bars, beside those of the ledger, which have bars of other keys."""
+    return re.sub(r"\b(bars|bars_ticks)\b", r"gate_\1", sql)
+
+
+LOOKED = [_beside_perf(sql) for sql in LOOK[len(SUP):]] + [f"chg AS MATERIALIZED ({_beside_perf(CHANGES)})"]
+
+
+def _passed(refits: bool) -> list[str]:
+    """chk(name, passed, gating): all checks, from the tables."""
+    rows = ["SELECT 'look' AS name, count(*) > 0 AND sum(unmatched) + count(*) FILTER (rows_compared = 0) = 0 AND max(max_before) = 0 AS passed, FALSE AS gating FROM chg",
+            f"SELECT 'prints', count(*) = 0, FALSE FROM {_spreads('feats')} WHERE spread = 0",
+            "SELECT 'folds', bool_and(ordering_ok), FALSE FROM fs",
+            "SELECT 'costs', max(total_costs) FILTER (strategy IN ('strategy', 'equal_weight')) > 0, FALSE FROM perf",
+            "SELECT 'benchmarks', bool_or(strategy = 'equal_weight'), FALSE FROM perf",
+            "SELECT 'survivors', TRUE, FALSE"]
+    rows += ["SELECT 'gate', ok, TRUE FROM gate", "SELECT 'lag', lag_ok, FALSE FROM gate"] if refits else ["SELECT 'gate', FALSE, TRUE"]
+    return LOOKED + [f"fs AS ({FOLD_SUMMARY})", f"chk AS MATERIALIZED ({' UNION ALL '.join(rows)})",
+                     """roll AS MATERIALIZED (SELECT count(*) AS n_checks, count(*) FILTER (passed) AS n_passed, count(*) FILTER (gating) AS n_gating,
+                     bool_and(passed) FILTER (gating) AS gate_ok, CASE WHEN bool_and(passed) FILTER (gating) THEN 'PASSED' ELSE 'FAILED' END AS gate_state FROM chk)"""]
+
+
+ROLLED = GATED + _passed(True)
+NOT_RUN = GATED + _passed(False)
+
+
+@query("integrity_rollup", ROLLED, "SELECT * FROM roll")
 def _(s: Stage) -> DataFrame:
     return integrity.gate(_checks(s, True))
 
 
-@query("integrity_gate_not_run", PERF, "SELECT 7 AS n_checks, 6 AS n_passed, 1 AS n_gating, FALSE AS gate_ok, 'FAILED' AS gate_state FROM perf WHERE strategy = 'strategy'")
+@query("integrity_gate_not_run", NOT_RUN, "SELECT * FROM roll")
 def _(s: Stage) -> DataFrame:
     return integrity.gate(_checks(s, False))
 
@@ -905,63 +1136,249 @@ def _(s: Stage) -> DataFrame:
     return report.benchmark_summary(s.performance).select("strategy", *rs(BENCH_COLS), "error")
 
 
-# --------------------------------------------- fitted models (rows-only checks)
-@query("model_oof")
+# ------------------------------------------------------------ fitted models
+#: Rows that any fit over these folds predicts: the keys and labels of the validation rows.
+VALIDATION = FOLDS + ["val AS MATERIALIZED (SELECT panel.date, ticker, fold, round(y, 6) AS y FROM panel JOIN roles ON roles.date = panel.date WHERE role = 'val')"]
+
+
+def _sound(rf: str = "rf", gb: str = "gb", std: str = "tree_std") -> Column:
+    """Predictions are there, and lie within the range of any 21-day return of these prices."""
+    return (F.col(rf).isNotNull() & F.col(gb).isNotNull() & (F.abs(F.col(rf)) < 1) & (F.abs(F.col(gb)) < 1) & (F.col(std) >= 0))
+
+
+@query("model_oof", VALIDATION, "SELECT date, ticker, fold, y, TRUE AS sound FROM val")
 def _(s: Stage) -> DataFrame:
-    return s.model.oof.select("date", "ticker", "fold", "rf", "gb", "tree_std", "y", "pred", "confidence")
+    return s.model.oof.select("date", "ticker", "fold", r("y"), _sound().alias("sound"))
 
 
-@query("model_stack")
+@query("model_stack", VALIDATION, "SELECT count(*) AS n, count(*) AS n_oof, TRUE AS same_ridge, TRUE AS same_fit FROM val")
 def _(s: Stage) -> DataFrame:
-    return s.model.ridge.join(s.model.calibration, "model")
+    """The ridge and its R2 beside the normal equations and residuals, summed up anew from the stored out-of-fold rows."""
+    fitted = s.model.ridge.join(s.model.calibration, "model").withColumnRenamed("n", "n_ridge")
+    rows = s.model.oof.crossJoin(F.broadcast(s.model.ridge.select("w_rf", "w_gb", "intercept", "alpha")))
+    e = F.col("y") - F.col("intercept") - F.col("w_rf") * F.col("rf") - F.col("w_gb") * F.col("gb")
+    sums = rows.agg(F.count("*").alias("n"), F.covar_pop(e, "rf").alias("c_rf"), F.covar_pop(e, "gb").alias("c_gb"), F.avg(e).alias("bias"),
+                    F.sum(e * e).alias("sse"), (F.var_pop("y") * F.count("*")).alias("sst"))
+    both = fitted.crossJoin(sums)
+    # Penalised least squares: n cov(residual, x) = alpha w, and a free intercept leaves no bias.
+    ridge = ((F.abs(F.col("n") * F.col("c_rf") - F.col("alpha") * F.col("w_rf")) < 1e-6)
+             & (F.abs(F.col("n") * F.col("c_gb") - F.col("alpha") * F.col("w_gb")) < 1e-6) & (F.abs("bias") < 1e-9))
+    same = F.abs(1 - F.col("sse") / F.col("sst") - F.col("oof_r2")) < 1e-9
+    return both.select(F.col("n_ridge").alias("n"), "n_oof", ridge.alias("same_ridge"), (same & (F.col("n") == F.col("n_oof"))).alias("same_fit"))
 
 
-@query("model_predictions")
+@query("model_votes", LATEST, "SELECT as_of, ticker, 30 AS n_votes, TRUE AS mean_is_rf FROM latest_z")
 def _(s: Stage) -> DataFrame:
-    return s.model.score(s.latest_z, MODEL)
+    """The forest's prediction is the mean of its trees' votes, read back from the leaves of the stored model."""
+    rows = s.model.base.predict(ensemble.assembled(s.latest_z).select("as_of", "ticker", "x")).withColumn("model", F.lit(1))
+    voted = ensemble.tree_votes(rows, ensemble.leaf_table(s.model.base, "model", 1), "model")
+    mean = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v) / F.size("votes")
+    return voted.select("as_of", "ticker", F.size("votes").alias("n_votes"), (F.abs(mean - F.col("rf")) < 1e-9).alias("mean_is_rf"))
 
 
-@query("model_signals_nested")
+@query("model_predictions", LATEST, "SELECT as_of, ticker, TRUE AS brackets, TRUE AS bounded FROM latest_z")
 def _(s: Stage) -> DataFrame:
-    return sg.nested(sg.signals(s.model.score(s.latest_z, MODEL), s.latest, s.info, P))
+    er, low, high = (F.col(c) for c in ("expected_return", "ci_low", "ci_high"))
+    half = MODEL.interval_z * F.col("calibrated_std")
+    wide = (low <= er - half + 1e-12) & (high >= er + half - 1e-12)
+    return s.model.score(s.latest_z, MODEL).select(
+        "as_of", "ticker", wide.alias("brackets"), (er.between(-0.5, 1.0) & F.col("confidence").between(0, 1) & (F.col("tree_std") >= 0)).alias("bounded"))
 
 
-@query("model_importances")
+@query("model_signals_nested", LATEST + [o.INFO], """SELECT as_of, ticker, sector, TRUE AS same FROM latest JOIN info USING (ticker) WHERE row_no >= 50""")
 def _(s: Stage) -> DataFrame:
-    return report.top_importances(ensemble.importances(s.model.base))
+    """Nested signals hold what the flat ones hold."""
+    flat = sg.signals(s.model.score(s.latest_z, MODEL), s.latest, s.info, P)
+    nested = sg.nested(flat).select("as_of", "ticker", "factors")
+    both = nested.join(flat.drop("factors"), ["as_of", "ticker"])
+    same = ((F.col("factors.scores.composite") == F.col("composite")) & (F.col("factors.volatility") == F.col("volatility"))
+            & (F.col("factors.rf_pred") == F.col("rf_pred")) & (F.col("factors.sector") == F.col("sector")))
+    return both.select("as_of", "ticker", "sector", same.alias("same"))
 
 
-@query("model_tier_table")
+@query("model_importances", None, f"SELECT unnest({FEATURES!r}) AS feature, TRUE AS sums_to_one, TRUE AS in_range")
+def _(s: Stage) -> DataFrame:
+    from pyspark.sql import Window
+    return ensemble.importances(s.model.base).select(
+        "feature", (F.abs(F.sum("importance").over(Window.partitionBy()) - 1) < 1e-6).alias("sums_to_one"),
+        F.col("importance").between(0, 1).alias("in_range"))
+
+
+@query("model_top_importances", None, f"SELECT {report.IMPORTANCE_ROWS} AS n, TRUE AS are_the_largest")
+def _(s: Stage) -> DataFrame:
+    whole = ensemble.importances(s.model.base)
+    top = report.top_importances(whole)
+    rest = whole.join(top.select("feature"), "feature", "left_anti").agg(F.max("importance").alias("next"))
+    return top.agg(F.count("*").alias("n"), F.min("importance").alias("last")).crossJoin(rest).select(
+        F.col("n").cast("int").alias("n"), (F.col("last") >= F.col("next")).alias("are_the_largest"))
+
+
+@query("model_tier_table", VALIDATION, "SELECT count(*) AS n, TRUE AS tiers_known FROM val")
 def _(s: Stage) -> DataFrame:
     rows = s.model.oof.join(F.broadcast(s.model.calibration.select("model", "residual_std")), "model")
-    return audit.tier_table(audit.tiered(rows, P))
+    table = audit.tier_table(audit.tiered(rows, P))
+    return table.agg(F.sum("n").alias("n"), F.bool_and(F.col("tier").isin(*sg.TIERS) & F.col("hit_rate").between(0, 1)).alias("tiers_known"))
 
 
-@query("model_falsification")
+#: Of the refits, all but the lagged one have the panel's validation rows.
+@query("model_falsification", VALIDATION, f"""SELECT kind, seed, n_oof, TRUE AS has_r2 FROM (SELECT count(*) AS n_oof FROM val),
+    (SELECT 'real' AS kind, CAST(NULL AS INTEGER) AS seed UNION ALL SELECT 'permuted', unnest({SEEDS}))""")
 def _(s: Stage) -> DataFrame:
-    return s.falsification
+    return s.falsification.where("kind <> 'lagged'").select("kind", "seed", "n_oof", (F.col("oof_r2") < 1).alias("has_r2"))
+
+
+LAG_PANEL = FEATS + o.lagged(1) + o.panel(src="lagged") + o.positions() + o.folds()
 
 
-@query("model_integrity_report")
+@query("model_falsification_lagged", LAG_PANEL, """SELECT count(*) AS n_oof, TRUE AS has_r2 FROM panel JOIN roles ON roles.date = panel.date WHERE role = 'val'""")
 def _(s: Stage) -> DataFrame:
-    return integrity.report(
-        s.spark, changes=s.lookahead, feats=s.features, summary=s.model.summary,
-        perf=s.performance, r2=s.falsification, params=MODEL)
+    return s.falsification.where("kind = 'lagged'").select("n_oof", (F.col("oof_r2") < 1).alias("has_r2"))
+
+
+@query("model_permuted_oof", VALIDATION, f"""SELECT seed, date, count(*) AS n, round(sum(y), 4) AS sum_y FROM (SELECT date, y FROM val), (SELECT unnest({SEEDS}) AS seed) GROUP BY ALL""")
+def _(s: Stage) -> DataFrame:
+    """Every permutation keeps each day's labels: their number and sum over the validation rows that the refits scored."""
+    found, kinds = s.refits
+    rows = refits.named(found.oof, kinds).where("kind = 'permuted'")
+    return rows.groupBy("seed", "date").agg(F.count("*").alias("n"), r(F.sum(F.round("y", 6)), 4, "sum_y"))
 
 
-@query("model_walk_forward")
+@query("model_integrity_report", VALIDATION, """SELECT unnest(['No look-ahead', 'No ticker fingerprints', 'Temporal folds with embargo', 'Costs applied',
+    'Benchmarks on identical dates', 'Falsification gate: permuted labels', 'Feature-lag test', 'Survivors in the universe']) AS name,
+    unnest([FALSE, FALSE, FALSE, FALSE, FALSE, TRUE, FALSE, FALSE]) AS gating, TRUE AS told FROM (SELECT count(*) FROM val)""")
 def _(s: Stage) -> DataFrame:
-    """Schedule of refitted models over the common dates of the regions."""
-    daily = s.bars("region")
-    feats = ft.features(daily, P).persist()
-    rebal = ledger.rebalance_dates(s.calendar, WALK)
-    return research.walk_forward(feats, daily, bs.instruments(s.spark, s.sf_dir, "region", daily), rebal, WALK, s.span)
+    """The checks over stage tables that were written once; R2 comes from refits of both learners."""
+    checks = integrity.report(
+        s.spark, changes=sizing.cut(s.lookahead), feats=s.features, summary=sizing.cut(s.fold_summary),
+        perf=sizing.cut(s.performance), r2=sizing.cut(s.falsification), params=P)
+    told = F.col("passed").isNotNull() & (F.length("measure") > 0) & (F.length("detail") > 0)
+    return checks.select("name", "gating", told.alias("told"))
 
 
-@query("run_record")
+@query("model_walk_forward", LEDGER, """SELECT model, cutoff, TRUE AS fitted FROM (SELECT CAST(k / 3 AS INTEGER) AS model, date AS cutoff FROM reb WHERE k % 3 = 0)""")
 def _(s: Stage) -> DataFrame:
-    checks = _checks(s, True).persist()
-    table = audit.tier_table(_tiers(s))
+    """A retrain every 63 days, each with a calibration of its own."""
+    return s.walk[1].select("model", "cutoff", ((F.col("n_oof") >= MODEL.min_oof_rows) & (F.col("residual_std") > 0) & (F.col("oof_r2") < 1)).alias("fitted"))
+
+
+@query("model_schedule", LEDGER, "SELECT k, TRUE AS fits FROM reb")
+def _(s: Stage) -> DataFrame:
+    """Weights of every rebalance: none, or in all not more than one, each within (0, 1], of tickers that exist."""
+    tickers = s.bars("region").select("ticker").distinct()
+    known = s.walk[0].join(F.broadcast(tickers.withColumn("known", F.lit(True))), "ticker", "left")
+    total = known.groupBy("k").agg(F.sum("weight").alias("w"), F.min("weight").alias("low"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+    fits = F.col("w").isNull() | ((F.col("w") <= 1 + 1e-9) & (F.col("low") > 0) & F.col("known"))
+    return s.rebalances.join(total, "k", "left").select("k", fits.alias("fits"))
+
+
+@query("model_ledger", LEDGER, """SELECT strategy, k, date, TRUE AS pays, CASE WHEN strategy <> 'strategy' THEN round(value, 2) END AS value FROM book""")
+def _(s: Stage) -> DataFrame:
+    """The models' schedule through the ledger, on the benchmarks' dates: costs are the rate times what was traded."""
+    book = s.walk_ledger
+    pays = F.when(F.col("is_end"), F.col("cost") == 0).otherwise(
+        F.abs(F.col("cost") - (F.col("value") + F.col("cost")) * F.col("turnover") * P.cost_rate) < 1e-6)
+    return book.select("strategy", "k", "date", (pays & (F.col("value") > 0)).alias("pays"),
+                       F.when(F.col("strategy") != "strategy", F.round("value", 2)).alias("value"))
+
+
+@query("model_performance", PERF, """SELECT strategy, n_periods, round(years, 6) AS years, CASE WHEN strategy <> 'strategy' THEN round(cagr, 6) END AS cagr, TRUE AS active FROM perf""")
+def _(s: Stage) -> DataFrame:
+    perf = ledger.performance(s.walk_ledger, P, policies=s.strategies, status=s.window_status)
+    own = perf.agg(F.max(F.when(F.col("strategy") == "strategy", F.col("cagr"))).alias("own"))
+    active = F.when(F.col("strategy") == "strategy", F.col("active_cagr").isNull()).otherwise(
+        F.abs(F.col("own") - F.col("cagr") - F.col("active_cagr")) < 1e-9)
+    return perf.crossJoin(F.broadcast(own)).select("strategy", "n_periods", r("years"), F.when(F.col("strategy") != "strategy", F.round("cagr", 6)).alias("cagr"),
+                                                   active.alias("active"))
+
+
+RECORD = ROLLED + TIERED[-1:] + AUDIT[-1:] + ["""verd AS (SELECT count(*) >= 2 AND bool_and(coalesce(prev >= mean_realized, TRUE)) AS monotonic FROM
+    (SELECT *, lag(mean_realized) OVER (ORDER BY tier_order) AS prev FROM aud WHERE tier IN ('HIGH', 'MEDIUM', 'LOW')))"""]
+
+
+def _record(s: Stage, perf: DataFrame) -> DataFrame:
+    checks = sizing.cut(_checks(s, True))
+    table = sizing.cut(audit.tier_table(_tiers(s)))
     return report.run_record(
-        s.spark, P, universe=s.bars().select("ticker").distinct(),
-        checks=checks, gate_row=integrity.gate(checks), perf=s.performance, tiers=table, verdict=audit.verdict(table))
+        P, generated=F.lit("2024-01-02T00:00:00"), universe=s.bars().select("ticker").distinct(), checks=checks, gate_row=integrity.gate(checks),
+        perf=perf, book=s.ledger, r2=s.calibration, tiers=table, verdict=audit.verdict(table))
+
+
+def _written(s: Stage, record: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The record and the universe as they're read back from where they were written."""
+    path = report.write_record(record, s.bars().select("ticker"), sizing.shared_path(s.spark, "records"), "2024-01-02")
+    return report.read_record(s.spark, path, record.schema)
+
+
+@query("run_record", RECORD, """SELECT (SELECT count(DISTINCT ticker) FROM gate_bars) AS universe_size, gate_ok, n_checks AS checks, n_passed AS passed,
+    (SELECT min(date) FROM reb) AS first_day, (SELECT max(end_date) FROM reb) AS last_day, (SELECT count(*) FROM reb) AS num_rebalances,
+    round(perf.cagr, 6) AS cagr, round(perf.final_value, 2) AS final_value, round(perf.total_costs, 2) AS total_costs, perf.num_trades,
+    (SELECT string_agg(strategy, ',' ORDER BY strategy) FROM perf WHERE strategy <> 'strategy') AS benchmarks,
+    (SELECT round(oof_r2, 6) FROM cal) AS oof_r2, monotonic, (SELECT count(*) FROM aud) AS tiers, CAST(NULL AS VARCHAR) AS error
+    FROM perf, roll, verd WHERE strategy = 'strategy'""")
+def _(s: Stage) -> DataFrame:
+    """The record of the run, written as JSON and read back."""
+    found, _ = _written(s, _record(s, s.performance))
+    back = F.col("backtest")
+    return found.select(
+        "universe_size", F.col("falsification_gate_passed").alias("gate_ok"), F.size("integrity").cast("long").alias("checks"),
+        F.size(F.filter("integrity", lambda c: c["passed"])).cast("long").alias("passed"), back["window"][0].alias("first_day"),
+        back["window"][1].alias("last_day"), back["num_rebalances"].alias("num_rebalances"), r(back["strategy"]["cagr"], 6, "cagr"),
+        r(back["strategy"]["final_value"], 2, "final_value"), r(back["strategy"]["total_costs"], 2, "total_costs"),
+        back["strategy"]["num_trades"].alias("num_trades"), F.array_join(F.transform(back["benchmarks"], lambda b: b["name"]), ",").alias("benchmarks"),
+        r(back["oof_r2"], 6, "oof_r2"), F.col("conviction_audit.monotonic").alias("monotonic"),
+        F.size("conviction_audit.table").cast("long").alias("tiers"), back["error"].alias("error"))
+
+
+@query("run_record_universe", SUP, "SELECT DISTINCT ticker FROM bars")
+def _(s: Stage) -> DataFrame:
+    record = s.spark.range(1).select(F.lit("none").alias("error"))
+    return _written(s, record)[1]
+
+
+@query("run_record_failed", SUP, f"""SELECT count(DISTINCT ticker) AS universe_size, '{ledger.FEW_DAYS}' AS error, TRUE AS nothing_else FROM bars""")
+def _(s: Stage) -> DataFrame:
+    """A window that couldn't be run leaves its error, and no figures."""
+    status = ledger.window_status(s.calendar.where("pos < 60"), P)
+    failed = ledger.performance(s.ledger, P, policies=s.strategies, status=status)
+    none = s.spark.createDataFrame([], "kind string, oof_r2 double")
+    checks = integrity.permutation_gate(none).withColumn("ord", F.lit(0))
+    tiers = s.spark.createDataFrame([], "tier string, tier_order int, n long, mean_pred double, mean_realized double, median_realized double, hit_rate double")
+    record = report.run_record(P, generated=F.lit("2024-01-02T00:00:00"), universe=s.bars().select("ticker").distinct(), checks=checks,
+                               gate_row=integrity.gate(checks), perf=failed, book=s.ledger, r2=s.calibration, tiers=tiers, verdict=audit.verdict(tiers))
+    found, _ = _written(s, record)
+    back = F.col("backtest")
+    return found.select("universe_size", back["error"].alias("error"),
+                        (back["strategy"].isNull() & back["window"].isNull() & back["oof_r2"].isNull() & F.col("conviction_audit").isNull()).alias("nothing_else"))
+
+
+# ------------------------------------------------------------ windows that can't be run
+@query("window_status", o.bars("region") + o.calendar() + [re.sub(r"\b(bars|bars_ticks|cal0)\b", r"n_\1", sql) for sql in o.bars("nation") + o.calendar()], f"""
+    SELECT name, days, rebalances, CASE WHEN days = 0 THEN '{ledger.NO_DAYS}' WHEN days < 100 THEN '{ledger.FEW_DAYS}' WHEN rebalances < 2 THEN '{ledger.NO_PERIODS}' END AS error FROM
+    (SELECT name, days, CASE WHEN days = 0 THEN 0 ELSE (SELECT count(*) FROM range(least(504, days // 2), days - 1, every)) END AS rebalances FROM
+     (SELECT 'whole' AS name, count(*) AS days, 21 AS every FROM cal0 UNION ALL SELECT 'short', count(*), 21 FROM cal0 WHERE pos < 60
+      UNION ALL SELECT 'no days', count(*), 21 FROM n_cal0 WHERE date < DATE '1900-01-01'
+      UNION ALL SELECT 'one period', count(*), 252 FROM cal0 WHERE pos < 120 UNION ALL SELECT 'clipped', count(*), 21 FROM cal0 WHERE date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'))""")
+def _(s: Stage) -> DataFrame:
+    """Whole, short, empty, single-period and clipped calendars, each with the reason why it can't be run, if any."""
+    import datetime as dt
+    clipped = ledger.common_calendar(s.bars("region"), dt.date(1995, 1, 1), dt.date(1996, 12, 31))
+    cases = {"whole": (s.calendar, P), "short": (s.calendar.where("pos < 60"), P),
+             "no days": (ledger.common_calendar(s.bars("nation"), end=dt.date(1899, 12, 31)), P),
+             "one period": (s.calendar.where("pos < 120"), P.with_(rebalance_every=252)), "clipped": (clipped, P)}
+    out = None
+    for name, (calendar, params) in cases.items():
+        row = ledger.window_status(calendar, params).select(F.lit(name).alias("name"), "days", "rebalances", "error")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("performance_not_run", None, f"""SELECT unnest(['strategy', 'equal_weight', 'index']) AS strategy, CAST(NULL AS DOUBLE) AS cagr, '{ledger.FEW_DAYS}' AS error FROM (SELECT count(*) FROM lineitem)""")
+def _(s: Stage) -> DataFrame:
+    status = ledger.window_status(s.calendar.where("pos < 60"), P)
+    return ledger.performance(s.ledger, P, policies=s.strategies, status=status).select("strategy", "cagr", "error")
+
+
+@query("benchmarks_not_run", None, f"""SELECT unnest(['equal_weight', 'index']) AS strategy, '{ledger.FEW_DAYS}' AS error FROM (SELECT count(*) FROM lineitem)""")
+def _(s: Stage) -> DataFrame:
+    status = ledger.window_status(s.calendar.where("pos < 60"), P)
+    return report.benchmark_summary(ledger.performance(s.ledger, P, policies=s.strategies, status=status)).select("strategy", "error")

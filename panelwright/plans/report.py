@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCAN_ROWS = 30
 SCAN_ALL = 16
@@ -57,38 +58,55 @@ def top_importances(table: DataFrame) -> DataFrame:
     return table.orderBy(F.col("importance").desc(), "feature").limit(IMPORTANCE_ROWS)
 
 
-def run_record(spark, params, *, universe: DataFrame, checks: DataFrame, gate_row: DataFrame,
-               perf: DataFrame, tiers: DataFrame, verdict: DataFrame, lead: str = "strategy") -> DataFrame:
+# Names of the record's fields, as readers of the output format know them.
+CONFIG = {"prediction_horizon_days": "horizon", "rebalance_frequency_days": "rebalance_every", "transaction_cost_bps": "cost_bps",
+          "max_universe_size": "max_universe_size", "random_seed": "seed"}
+STRATEGY = ["total_return", "cagr", "volatility", "sharpe_ratio", "max_drawdown", "turnover_annualized", "total_costs", "final_value",
+            "num_trades"]
+BENCHMARK = ["cagr", "total_return", "sharpe_ratio", "max_drawdown", "active_cagr", "error"]
+
+
+def run_record(params, *, generated: Column, universe: DataFrame, checks: DataFrame, gate_row: DataFrame, perf: DataFrame, book: DataFrame,
+               r2: DataFrame, tiers: DataFrame, verdict: DataFrame, lead: str = "strategy") -> DataFrame:
     """One nested row with the whole run; its parts have a handful of rows each.
 
-    Of the universe the record has the number of symbols; ``write_record`` writes
-    the symbols as a table next to it.
+    ``book`` is the ledger, which gives the window and the number of rebalances; ``r2`` has one row, oof_r2. Where the run
+    failed, the backtest holds the error and nothing else; without tiers there is no audit. Of the universe the record
+    has the number of symbols; ``write_record`` writes the symbols as a table next to it.
     """
-    def packed(df: DataFrame, name: str, *cols: str) -> DataFrame:
-        return df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)).withColumn("one", F.lit(1))
-
-    own = F.array_sort(F.collect_list(F.struct(
-        "strategy", "total_return", "cagr", "volatility", "sharpe_ratio", "max_drawdown",
-        "turnover_annualized", "total_costs", "final_value", "num_trades", "error")))
-    config = F.struct(
-        F.lit(params.horizon).alias("prediction_horizon_days"),
-        F.lit(params.rebalance_every).alias("rebalance_frequency_days"),
-        F.lit(params.cost_bps).alias("transaction_cost_bps"),
-        F.lit(params.max_universe_size).alias("max_universe_size"), F.lit(params.seed).alias("random_seed"))
-    out = universe.agg(F.countDistinct("ticker").alias("universe_size")).withColumn("one", F.lit(1))
-    for df in (packed(checks, "integrity", "ord", "name", "passed", "gating", "measure", "detail"),
-               perf.agg(own.alias("backtest")).withColumn("one", F.lit(1)),
-               packed(tiers, "tiers", "tier_order", "tier", "n", "mean_pred", "mean_realized",
-                      "median_realized", "hit_rate"),
-               verdict.select(F.struct("monotonic", "detail").alias("audit"), F.lit(1).alias("one")),
-               gate_row.select(F.col("gate_ok").alias("falsification_gate_passed"), F.lit(1).alias("one"))):
-        out = out.join(F.broadcast(df), "one")
-    return out.select(config.alias("config"), "*").drop("one")
+    mine = F.col("strategy") == lead
+    own = perf.agg(
+        F.max(F.when(mine, F.struct(*STRATEGY))).alias("strategy"),
+        F.array_sort(F.collect_list(F.when(~mine, F.struct(F.col("strategy").alias("name"), *BENCHMARK)))).alias("benchmarks"),
+        F.max(F.when(mine, F.col("error"))).alias("error"))
+    window = book.where(mine).agg(F.array(F.min("date"), F.max("date")).alias("window"),
+                                  F.sum((~F.col("is_end")).cast("long")).alias("num_rebalances"))
+    back = own.crossJoin(window).crossJoin(r2.select("oof_r2"))
+    names = ["window", "num_rebalances", "strategy", "benchmarks", "oof_r2"]
+    fine = F.col("error").isNull()
+    backtest = F.struct(*[F.when(fine, F.col(n)).alias(n) for n in names], "error")
+    audit = tiers.agg(F.array_sort(F.collect_list(F.struct("tier_order", "tier", "n", "mean_pred", "mean_realized", "median_realized", "hit_rate"))).alias("rows"))
+    audited = F.when(F.size("rows") > 0, F.struct("monotonic", "detail", F.col("rows").alias("table")))
+    parts = [universe.agg(F.countDistinct("ticker").alias("universe_size")),
+             gate_row.select(F.col("gate_ok").alias("falsification_gate_passed")),
+             checks.agg(F.array_sort(F.collect_list(F.struct("ord", "name", "passed", "gating", "measure", "detail"))).alias("integrity")),
+             back.select(backtest.alias("backtest")),
+             audit.crossJoin(verdict.select("monotonic", "detail")).select(audited.alias("conviction_audit"))]
+    config = F.struct(*[F.lit(getattr(params, field)).alias(name) for name, field in CONFIG.items()])
+    out = parts[0].select(generated.alias("generated"), config.alias("config"), "universe_size")
+    for part in parts[1:]:
+        out = out.crossJoin(F.broadcast(part))
+    return out
 
 
 def write_record(record: DataFrame, universe: DataFrame, root: str, stamp: str) -> str:
     """The record as JSON, and the universe as a table, under a dated path."""
     path = f"{root}/{stamp}"
-    record.write.mode("overwrite").json(f"{path}/record")
+    record.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/record")
     universe.select("ticker").distinct().write.mode("overwrite").parquet(f"{path}/universe")
     return path
+
+
+def read_record(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """What write_record wrote: the record, by the schema it was written with, and the universe."""
+    return spark.read.schema(schema).json(f"{path}/record"), spark.read.parquet(f"{path}/universe")

@@ -1,4 +1,4 @@
-"""Whole runs: stacked fit, falsification refits and the walk-forward schedule."""
+"""One stacked fit: out-of-fold rows, ridge, calibration and the refit on the whole panel."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators import allocation, ensemble, falsify, folds, panel as pn, scoring, signals as sg
+from panelwright.functions import sizing
+from panelwright.operators import ensemble, folds, panel as pn, scoring
 from panelwright.params import JobParams
 
 
@@ -32,20 +33,21 @@ class StackedModel:
 def out_of_fold(z: DataFrame, params: JobParams, model: int = 1):
     """Stacked out-of-fold rows, ridge, calibration and fold summary of one normalised panel.
 
-    None when the panel or the out-of-fold table is too small. ``z`` is persisted by the caller.
+    None when the panel or the out-of-fold table is too small. ``z`` is a stored table, without the lineage of its features.
+    What is small and read again (rows, ridge, calibration, folds) is stored too, so nothing here goes back to ``z``.
     """
     if not pn.large_enough(z, params):
         return None
-    roles = folds.day_roles(folds.date_positions(z), params).persist()
-    summary = folds.fold_summary(z, roles, params)
+    roles = sizing.cut(folds.day_roles(folds.date_positions(z), params))
     if roles.isEmpty():
         return None
-    raw = ensemble.complete_oof(ensemble.out_of_fold(z, roles, params)).withColumn("model", F.lit(model)).persist()
+    summary = sizing.cut(folds.fold_summary(z, roles, params))
+    raw = sizing.cut(ensemble.complete_oof(ensemble.out_of_fold(z, roles, params)).withColumn("model", F.lit(model)))
     if raw.limit(params.min_oof_rows).count() < params.min_oof_rows:
         return None
-    ridge = ensemble.fit_ridge(raw).persist()
-    oof = ensemble.stacked(raw, ridge)
-    return oof, ridge, ensemble.calibration(oof).persist(), summary
+    ridge = sizing.cut(ensemble.fit_ridge(raw))
+    oof = sizing.cut(ensemble.stacked(raw, ridge))
+    return oof, ridge, sizing.cut(ensemble.calibration(oof)), summary
 
 
 def fit(z: DataFrame, params: JobParams, model: int = 1) -> StackedModel | None:
@@ -56,58 +58,3 @@ def fit(z: DataFrame, params: JobParams, model: int = 1) -> StackedModel | None:
     oof, ridge, calibration, summary = parts
     base = ensemble.fit_base(ensemble.assembled(z).select("x", "y"), params)
     return StackedModel(base, ridge, calibration, oof, summary, model)
-
-
-def oof_r2(z: DataFrame, params: JobParams, kind: str) -> DataFrame:
-    """(kind, oof_r2) of one refit; no row when it could not be fitted."""
-    parts = out_of_fold(z, params)
-    if parts is None:
-        return z.sparkSession.createDataFrame([], "kind string, oof_r2 double")
-    return parts[2].select(F.lit(kind).alias("kind"), "oof_r2")
-
-
-def falsification(z: DataFrame, lagged_z: DataFrame, params: JobParams, rounds: int = 1) -> DataFrame:
-    """Real, permuted (one row per round) and lagged out-of-fold R2. Rounds share the persisted panel."""
-    out = oof_r2(z, params, "real")
-    for k in range(rounds):
-        permuted = falsify.with_labels(z, falsify.permute_labels(z, falsify.BASE_SEED + k)).persist()
-        out = out.unionByName(oof_r2(permuted, params, "permuted"))
-    return out.unionByName(oof_r2(lagged_z, params, "lagged"))
-
-
-def walk_forward(feats: DataFrame, bars: DataFrame, info: DataFrame, rebalances: DataFrame,
-                 params: JobParams, span: int | None = None) -> DataFrame:
-    """Model-driven schedule(strategy, k, ticker, weight) over the rebalance dates.
-
-    Features are computed once and cut by date, which is valid because they do
-    not depend on later rows. Every ``retrain_stride``-th rebalance refits on
-    rows before it; the rebalances up to the next refit are scored together.
-    A refit that lacks data keeps the previous model.
-    """
-    dates = [(r["k"], r["date"]) for r in rebalances.select("k", "date").orderBy("k").collect()]
-    latest = scoring.latest_rows_at(feats, [d for _, d in dates], params).persist()
-    latest_z = scoring.normalised_latest(latest, len(dates), params).persist()
-    model, preds = None, None
-    for start in range(0, len(dates), params.retrain_stride):
-        block = dates[start:start + params.retrain_stride]
-        cut = block[0][1]
-        seen = feats.where(F.col("date") < F.lit(cut))
-        enough = seen.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(
-            F.col("n") > params.min_feature_rows).select("ticker")
-        panel = pn.build_panel(seen.join(enough, "ticker", "left_semi"), cut)
-        z = pn.normalise(panel, "date", span=span, params=params).persist()
-        model = fit(z, params, model=start) or model
-        z.unpersist()
-        if model is None:
-            continue
-        part = model.score(latest_z.where(F.col("as_of").isin([d for _, d in block])), params)
-        preds = part if preds is None else preds.unionByName(part)
-    empty = rebalances.sparkSession.createDataFrame([], "strategy string, k int, ticker string, weight double")
-    if preds is None:
-        return empty
-    sig = sg.signals(preds, latest, info, params)
-    cands = sg.candidates(sig, params.backtest_min_return, params)
-    weights = allocation.optimise(allocation.covariance(allocation.problems(
-        allocation.trailing_returns(cands, bars, params))), params)
-    held = allocation.held(weights).join(rebalances.select("k", F.col("date").alias("as_of")), "as_of")
-    return held.select(F.lit("strategy").alias("strategy"), "k", "ticker", "weight")
