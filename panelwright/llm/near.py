@@ -2,15 +2,16 @@
 
 Candidates come from two sides: SimHash fingerprints that link, and sketches. A sketch is the least values of BANDS x ROWS
 hash functions over a text's shingles; texts that agree in a whole band share a bucket, which at a similarity of 0.8
-happens with a probability of 1 - (1 - 0.8^5)^20 = 0.9996, at 0.5 of 0.47, and at 0.2 of 0.006. Whether a candidate pair is
-similar is then counted on the whole shingle sets, so that a pair which isn't is never linked. SimHash's two bits reach
-few pairs of 0.8; most links come from the sketches.
+happens with a probability of 1 - (1 - 0.8^5)^20 = 0.9996, at 0.5 of 0.47, and at 0.2 of 0.006. MORE functions besides
+sharpen what a sketch says about a pair. Whether a candidate pair is similar is then counted on the whole shingle
+sets, so that a pair which isn't is never linked. SimHash's two bits reach few pairs of 0.8; most links come from the sketches.
 
-Each member of a bucket is first compared with its least and its greatest one. What these links leave outside of a
-bucket's largest component is then compared with all its members, in pieces of PIECE by PIECE members, of which a
-task holds one at a time and gives out only pairs of different components whose sketches and sizes allow a similarity of 0.8.
-So a group of many copies costs its size, one with stragglers its size times their number, and no pairs of a bucket are
-written out. Of a group, links to its representatives and the membership are kept.
+Every bucket has two representatives, drawn by a hash of bucket and member, so that a text meets other ones in each of
+its buckets. It is compared with the one whose sketch is nearest first, then with those others that lie in
+another component. What these links leave outside of a bucket's largest component is last compared with all its members,
+in pieces of PIECE by PIECE members, of which a task holds one at a time and gives out only pairs of different components
+whose sketches and sizes allow a similarity of 0.8. So a group of many copies costs its size, one with stragglers its size
+times their number, and no pairs of a bucket are written out. Of a group, links to representatives and the membership are kept.
 
 Texts are told apart by their SHA-256; distinct ones get a number, by which they are joined.
 
@@ -32,24 +33,25 @@ from pyspark.sql import functions as F
 from panelwright.llm import simhash
 from panelwright.llm.common import cut, parts, portions, utf8_of
 
-BANDS, ROWS = 20, 5
-#: Functions of BANDS * ROWS that agree for a pair to be counted; at 0.8, 80 do, with a deviation of 4.
-AGREE = 60
+BANDS, ROWS, MORE = 20, 5, 92
+FUNCTIONS = BANDS * ROWS + MORE
+#: Functions that agree for a pair to be counted: at 0.8, 154 of 192 do, with a deviation of 5.5.
+AGREE = 134
 #: Members of a bucket on each side of a comparison in one task, about.
 PIECE = 256
 _RNG = np.random.default_rng(8)
-_XOR = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
-_ODD = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 64, (FUNCTIONS, 1), np.uint64)
+_ODD = _RNG.integers(0, 1 << 64, (FUNCTIONS, 1), np.uint64) | np.uint64(1)
 
 
 def described(text: bytes, words: int) -> tuple[int, np.ndarray, int]:
     """Fingerprint, least value of each function, and number of different shingles."""
-    least, votes, n, sets = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), np.zeros(simhash.BITS, np.int64), 0, []
+    least, votes, n, sets = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64), np.zeros(simhash.BITS, np.int64), 0, []
     for block in simhash.shingles(text, words):
         own = np.unique(block)
         sets.append(own)
-        for at in range(0, len(own), 1024):
-            least = np.minimum(least, ((own[at:at + 1024][None, :] ^ _XOR) * _ODD).min(axis=1))
+        for at in range(0, len(own), 512):
+            least = np.minimum(least, ((own[at:at + 512][None, :] ^ _XOR) * _ODD).min(axis=1))
         for at in range(0, len(block), 8192):
             bits = np.unpackbits(block[at:at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             votes += bits.sum(axis=0, dtype=np.int64)
@@ -79,13 +81,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _lows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
 
 
 def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield batch.select([0, 1]).filter(pa.array((_lows(batch.column(2)) == _lows(batch.column(3))).sum(axis=1) >= AGREE))
+            agree = (_lows(batch.column(2)) == _lows(batch.column(3))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agree)], names=["a", "b", "agree"]).filter(pa.array(agree >= AGREE))
 
 
 def _crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,15 +97,16 @@ def _crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             (ida, ra, na, la), (idb, rb, nb, lb) = (
                 (*(np.array([m[k] for m in row[side]], np.int64) for k in ("id", "root", "size")), [m["low"] for m in row[side]]) for side in ("out", "every"))
-            a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS) for x in (la, lb))
+            a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, FUNCTIONS) for x in (la, lb))
             fit = (ra[:, None] != rb[None, :]) & (5 * na[:, None] >= 4 * nb[None, :]) & (5 * nb[None, :] >= 4 * na[:, None])
             i, j = np.nonzero(fit)
             for at in range(0, len(i), 1 << 16):
                 x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                near = (a[x] == b[y]).sum(axis=1) >= AGREE
+                agree = (a[x] == b[y]).sum(axis=1)
+                near = agree >= AGREE
                 low, high = np.minimum(ida[x[near]], idb[y[near]]), np.maximum(ida[x[near]], idb[y[near]])
                 if len(low):
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(agree[near])], names=["a", "b", "agree"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -120,8 +124,36 @@ def _beside(pairs: DataFrame, own: DataFrame, value: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs a, b whose sketches allow a similarity of 0.8 or more."""
-    return _beside(pairs, distinct, "low").mapInArrow(_likely, "a long, b long")
+    """The pairs a, b whose sketches allow a similarity of 0.8 or more, and how many functions agree."""
+    return _beside(pairs, distinct, "low").mapInArrow(_likely, "a long, b long, agree long")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b of different components."""
+    for side in "ab":
+        own = roots.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(own, F.col(side) == F.col(f"node_{side}"), "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "agree")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of every text, its pair with the nearest sketch."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("b").alias("other"), "agree"), F.struct(
+        F.col("b").alias("end"), F.col("a").alias("other"), "agree"))).alias("p")).select("p.*")
+    best = ends.groupBy("end").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
+    return best.select(F.least("end", "other").alias("a"), F.greatest("end", "other").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, found: DataFrame | None, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """`found` and the similar ones of `pairs` (a, b, agree), but for those whose texts other links have joined already.
+
+    Of every text the nearest pair is counted first; what still lies in different components then is counted after it.
+    """
+    first = cut(_nearest(pairs))
+    new = similar(first, distinct, docs, words)
+    found = new if found is None else found.unionByName(new)
+    rest = cut(_apart(pairs.join(first, ["a", "b"], "left_anti"), cut(simhash.components(found))))
+    return found if rest.isEmpty() else found.unionByName(similar(rest, distinct, docs, words))
 
 
 def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -162,21 +194,23 @@ def groups(docs: DataFrame, words: int = 5) -> DataFrame:
     rows = cut(sketches(docs, words))
     distinct = cut(rows.drop("doc_id").dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()))
     held = distinct.select("id", F.explode(F.concat("keys", F.array(F.xxhash64("fp")))).alias("key"))
-    shared = cut(held.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"))
+    drawn = F.xxhash64("id", "key")
+    shared = cut(held.groupBy("key").agg(F.min_by("id", drawn).alias("least"), F.max_by("id", drawn).alias("most")).where("least != most"))
     members = cut(held.join(shared, "key"))
     alike = cut(distinct.groupBy("fp").agg(F.min("id").alias("id")))
     linked = simhash.links(alike.select("fp"))
     for side in "ab":
         linked = linked.join(alike.select(F.col("fp").alias(side), F.col("id").alias(f"{side}_id")), side)
-    linked = linked.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    stars = [members.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")),
-             members.where("id < most").select(F.col("id").alias("a"), F.col("most").alias("b"))]
-    tried = cut(likely(stars[0].unionByName(stars[1]).unionByName(linked).distinct(), distinct))
-    found = similar(tried, distinct, docs, words)
+    pairs = linked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    for drawn in ("least", "most"):
+        pairs = pairs.unionByName(members.where(F.col("id") != F.col(drawn)).select(F.col(drawn).alias("a"), F.col("id").alias("b")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = cut(likely(pairs, distinct))
+    found = confirmed(tried, None, distinct, docs, words)
     pieces = _pieces(members, cut(simhash.components(found)), distinct)
-    left = cut(pieces.mapInArrow(_crossed, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    left = cut(pieces.mapInArrow(_crossed, "a long, b long, agree long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     if not left.isEmpty():
-        found = found.unionByName(similar(left, distinct, docs, words))
+        found = confirmed(left, found, distinct, docs, words)
     roots = cut(simhash.components(found))
     named = distinct.select("digest", "id").join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
     return rows.select("doc_id", "digest").join(named, "digest")
