@@ -26,9 +26,13 @@ from panelwright.functions import sizing
 from panelwright.operators.features import FEATURES
 from panelwright.params import JobParams
 
-BINS, SPREAD = 64, 4.0
+BINS, SPREAD = 32, 4.0
 #: Histograms that a task holds at a time.
 HISTOGRAM_BYTES = 96 << 20
+#: Histograms of all tasks together that the driver adds up itself; larger ones meet by tree in tasks.
+DRIVER_BYTES = 32 << 20
+#: Rows of a task at least: every task gives out the histograms of all open nodes, whatever its rows.
+TASK_ROWS = 10_000
 #: Rounds of boosting after which each row's sums of earlier trees are stored.
 STATE_EVERY = 20
 #: Cumulative chances of 0, 1, 2, ... draws of a row in a bootstrap sample of the rows.
@@ -235,10 +239,17 @@ def _grow(data: DataFrame, fits: list[Fit], trees: Trees, which: list[tuple[int,
             def goal(batch: _Batch, model: int, rows_: np.ndarray, names: list[int] = names) -> np.ndarray:
                 return target(batch, names[model], rows_)
 
+            small = held * data.rdd.getNumPartitions() <= DRIVER_BYTES
             parts = data.mapInArrow(lambda batches, own=own, some=some, some_fits=some_fits, goal=goal, level=level: _histograms(
                 batches, some_fits, own, some, level, weight, goal), "unit int, sums binary")
-            found = parts.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches, own=own: _splits(batches, own, leaf), _SPLIT)
-            for r in found.collect():
+            if small:
+                sums = pa.RecordBatch.from_pylist(sorted(({"unit": r["unit"], "sums": bytes(r["sums"])} for r in parts.collect()), key=lambda r: r["unit"]),
+                                                  pa.schema([("unit", pa.int32()), ("sums", pa.binary())]))
+                found = [r for batch in _splits([sums], own, leaf) for r in batch.to_pylist()]
+            else:
+                split = parts.repartition("unit").sortWithinPartitions("unit")
+                found = split.mapInArrow(lambda batches, own=own: _splits(batches, own, leaf), _SPLIT).collect()
+            for r in found:
                 unit = units[r["unit"]]
                 m, t, node = unit.model, unit.tree, unit.nodes[r["slot"]]
                 if not r["n"]:
@@ -272,7 +283,12 @@ def _means(data: DataFrame, fits: list[Fit]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(data: DataFrame, fits: list[Fit], params: JobParams) -> Ensembles:
-    """All models of `fits` over `data` (rows(), stored). Models without rows have trees of a single node."""
+    """All models of `fits` over `data` (rows(), stored). Models without rows have trees of a single node.
+
+    The rows are kept in memory, as far as it goes, while passes read them; what is lost is read again from where they're stored.
+    """
+    parts = max(1, -(-data.count() // TASK_ROWS))
+    data = (data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data).persist()
     forest = Trees.none(len(fits), params.rf_trees, params.rf_depth)
     boosted = Trees.none(len(fits), params.gb_rounds, params.gb_depth)
     n, centre = _means(data, fits)
@@ -285,7 +301,8 @@ def train(data: DataFrame, fits: list[Fit], params: JobParams) -> Ensembles:
     stored = 0
     for t in range(params.gb_rounds):
         if t and t % STATE_EVERY == 0:
-            data, stored = sizing.cut(_with_sums(data, boosted, stored, t)), t
+            before, data, stored = data, sizing.cut(_with_sums(data, boosted, stored, t)).persist(), t
+            before.unpersist()
         done = Trees(boosted.feature[:, stored:t], boosted.cut[:, stored:t], boosted.value[:, stored:t], boosted.gain[:0])
 
         def left(batch: _Batch, model: int, own: np.ndarray, done: Trees = done) -> np.ndarray:
@@ -296,6 +313,7 @@ def train(data: DataFrame, fits: list[Fit], params: JobParams) -> Ensembles:
         _grow(data, fits, now, [(m, 0) for m in used], params.gb_depth, params.gb_leaf, len(FEATURES), params.seed,
               lambda batch, tree, t=t: (batch.uniform(2 * t + 1) < params.gb_subsample).astype(np.float64), left)
         boosted.value[:, t] *= params.gb_rate
+    data.unpersist()
     return Ensembles(fits, forest, boosted, centre, n, params.gb_rate)
 
 

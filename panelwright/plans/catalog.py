@@ -22,8 +22,9 @@ from panelwright.plans import oracle as o, refits, report, research
 from panelwright.sources import bars as bs, snapshots as sn, universe as un
 
 P = JobParams()
-#: Folds, depths, steps and thresholds are the defaults; trees are fewer, and leaves smaller, for the small tables.
-MODEL = P.with_(rf_trees=30, rf_leaf=20, gb_rounds=30, gb_leaf=20)
+#: Folds, steps and thresholds are the defaults; trees are fewer and smaller, for a pass over the rows costs its overhead on small tables.
+MODEL = P.with_(rf_trees=30, rf_depth=5, rf_leaf=20, gb_rounds=6, gb_depth=3, gb_rate=0.1, gb_leaf=20)
+WALK = MODEL.with_(rf_trees=10)
 #: Permutation rounds of the checks.
 SEEDS = [falsify.BASE_SEED + k for k in range(3)]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,7 +198,7 @@ class Stage:
         daily = self.bars("region")
         feats = sizing.cut(ft.features(daily, P))
         info = bs.instruments(self.spark, self.sf_dir, "region", daily)
-        schedule, fitted = refits.walk_forward(feats, daily, info, self.rebalances, MODEL, self.span)
+        schedule, fitted = refits.walk_forward(feats, daily, info, self.rebalances, WALK, self.span)
         return sizing.cut(schedule), fitted
 
     @cached_property
@@ -1235,12 +1236,12 @@ def _(s: Stage) -> DataFrame:
     return s.falsification.where("kind = 'lagged'").select("n_oof", (F.col("oof_r2") < 1).alias("has_r2"))
 
 
-@query("model_permuted_oof", VALIDATION, f"""SELECT seed, date, count(*) AS n, round(sum(y), 4) AS sum_y FROM (SELECT date, y FROM val), (SELECT unnest({SEEDS}) AS seed) GROUP BY ALL""")
+@query("model_permuted_oof", VALIDATION, f"""SELECT seed, date, count(*) AS n, CAST(sum(CAST(round(y * 1e6) AS BIGINT)) AS BIGINT) AS sum_y FROM (SELECT date, y FROM val), (SELECT unnest({SEEDS}) AS seed) GROUP BY ALL""")
 def _(s: Stage) -> DataFrame:
     """Every permutation keeps each day's labels: their number and sum over the validation rows that the refits scored."""
     found, kinds = s.refits
     rows = refits.named(found.oof, kinds).where("kind = 'permuted'")
-    return rows.groupBy("seed", "date").agg(F.count("*").alias("n"), r(F.sum(F.round("y", 6)), 4, "sum_y"))
+    return rows.groupBy("seed", "date").agg(F.count("*").alias("n"), F.sum(F.round(F.col("y") * 1e6).cast("bigint")).alias("sum_y"))
 
 
 @query("model_integrity_report", VALIDATION, """SELECT unnest(['No look-ahead', 'No ticker fingerprints', 'Temporal folds with embargo', 'Costs applied',
@@ -1258,7 +1259,7 @@ def _(s: Stage) -> DataFrame:
 @query("model_walk_forward", LEDGER, """SELECT model, cutoff, TRUE AS fitted FROM (SELECT CAST(k / 3 AS INTEGER) AS model, date AS cutoff FROM reb WHERE k % 3 = 0)""")
 def _(s: Stage) -> DataFrame:
     """A retrain every 63 days, each with a calibration of its own."""
-    return s.walk[1].select("model", "cutoff", ((F.col("n_oof") >= MODEL.min_oof_rows) & (F.col("residual_std") > 0) & (F.col("oof_r2") < 1)).alias("fitted"))
+    return s.walk[1].select("model", "cutoff", ((F.col("n_oof") >= WALK.min_oof_rows) & (F.col("residual_std") > 0) & (F.col("oof_r2") < 1)).alias("fitted"))
 
 
 @query("model_schedule", LEDGER, "SELECT k, TRUE AS fits FROM reb")
