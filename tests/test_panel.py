@@ -49,7 +49,7 @@ def test_permutation_keeps_each_dates_labels(spark):
 def test_rank_with_heavy_ties(spark):
     rows = [("g", float(i % 7), f"{i:04d}") for i in range(700)]
     df = spark.createDataFrame(rows, "g string, v double, t string")
-    got = [(r["v"], r["t"]) for r in ranks.by_value_desc(df, ["g"], "v", "t", "rank", 8).orderBy("rank").collect()]
+    got = [(r["v"], r["t"]) for r in ranks.by_value_desc(df, ["g"], "v", "t", "rank").orderBy("rank").collect()]
     assert got == sorted(((v, t) for _, v, t in rows), key=lambda x: (-x[0], x[1]))
 
 
