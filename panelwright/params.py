@@ -83,10 +83,3 @@ class JobParams:
 
     def with_(self, **changes) -> "JobParams":
         return replace(self, **changes)
-
-
-def small_model(**changes) -> JobParams:
-    """Parameters with few small trees, for quick runs and tests."""
-    base = dict(n_folds=3, rf_trees=16, rf_depth=5, rf_leaf=20,
-                gb_rounds=6, gb_depth=3, gb_rate=0.1, gb_leaf=20)
-    return JobParams(**{**base, **changes})

@@ -12,7 +12,8 @@ computed as a blocked prefix sum:
 
 Steps are whole hundredths held as BIGINT, so the sums are exact and do not
 depend on how the rows were split. The block is a range of order keys; it rises
-with the order of the rows and keeps the groups small for any hot key or day.
+with the order of the rows. Its length is measured, so that a block has about
+BLOCK_ROWS rows of all keys and days, and no more of any hot key or day.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BAR_SCHEMA = T.StructType([
     T.StructField("volume", T.LongType()),
 ])
 
-ORDER_BLOCK = 1 << 32
+BLOCK_ROWS = 4_000_000
 TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
        "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -75,7 +76,14 @@ def tick_price(steps: Column) -> Column:
     return F.round(100.0 * F.exp(0.15 * (steps / F.lit(100.0))), 4).cast("float")
 
 
-def walk_bars(lines: DataFrame, order_block: int = ORDER_BLOCK) -> DataFrame:
+def order_block(spark: SparkSession, sf_dir: str) -> int:
+    """Order keys of a block, from the range and number of the keys; only that column is read."""
+    row = table(spark, sf_dir, "lineitem").agg(
+        F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"), F.count("l_orderkey").alias("n")).first()
+    return max(1, (row["high"] - row["low"] + 1) * BLOCK_ROWS // row["n"]) if row["n"] else 1
+
+
+def walk_bars(lines: DataFrame, order_block: int) -> DataFrame:
     """Blocked prefix walk over ``ticker, l_shipdate, TIE`` rows, one bar per (ticker, date)."""
     rows = lines.select(
         "ticker", F.to_date("l_shipdate").alias("date"), *TIE,
@@ -112,8 +120,8 @@ def walk_bars(lines: DataFrame, order_block: int = ORDER_BLOCK) -> DataFrame:
                        tick_price(F.col("c")).alias("close"), "volume")
 
 
-def bars(spark: SparkSession, sf_dir: str, key: str, order_block: int = ORDER_BLOCK) -> DataFrame:
-    return walk_bars(keyed_lines(spark, sf_dir, key), order_block)
+def bars(spark: SparkSession, sf_dir: str, key: str, block: int | None = None) -> DataFrame:
+    return walk_bars(keyed_lines(spark, sf_dir, key), block or order_block(spark, sf_dir))
 
 
 def instruments(spark: SparkSession, sf_dir: str, key: str, daily: DataFrame) -> DataFrame:

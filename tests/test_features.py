@@ -16,7 +16,7 @@ def test_45_columns_and_no_forbidden(feats):
 
 
 def test_blocked_walk_equals_single_block(spark, sf, supplier_bars):
-    split = bs.bars(spark, sf, "supplier", order_block=100)
+    split = bs.bars(spark, sf, "supplier", block=100)
     assert split.exceptAll(supplier_bars).count() == 0
     assert supplier_bars.exceptAll(split).count() == 0
 
