@@ -70,3 +70,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows, written once to the shared folder in buckets of ``key`` and read back as a table.
+
+    Readers take the columns they name, group and window by ``key`` without an exchange, and plan from the table
+    instead of from all that made it.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stored_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, F.col(key))
+    rows.write.bucketBy(buckets, key).sortBy(key, *order).option("path", shared_path(spark, "stored")).saveAsTable(name)
+    return spark.table(name)

@@ -1,7 +1,8 @@
 """Registered queries over the supplied tables, with their SQL twins.
 
-Stages that several queries share (bars, features, normalised panel) are built
-once per session and folder and persisted, as a research run would.
+Stages that several queries share are built once per session and folder, as a
+research run would: features and normalised panel are written as bucketed tables,
+smaller ones persisted.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Stage:
 
     @cached_property
     def features(self) -> DataFrame:
-        return ft.features(self.bars(), P).persist()
+        return sizing.stored(ft.features(self.bars(), P), "ticker", "date")
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -60,7 +61,7 @@ class Stage:
 
     @cached_property
     def z(self) -> DataFrame:
-        return pn.normalise(self.panel, "date", span=self.span).persist()
+        return sizing.stored(pn.normalise(self.panel, "date", span=self.span), "ticker", "date")
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -118,7 +119,7 @@ class Stage:
 
     @cached_property
     def lookahead(self) -> DataFrame:
-        return integrity.lookahead_changes(self.bars(), P).persist()
+        return integrity.lookahead_changes(self.bars(), P, base=self.features).persist()
 
     @cached_property
     def fold_summary(self) -> DataFrame:
@@ -174,8 +175,7 @@ class Stage:
     # ------------------------------------------------------------ models
     @cached_property
     def model_z(self) -> DataFrame:
-        """The panel without its lineage, which would ride in every task of every fit."""
-        return sizing.cut(self.z.select("date", "ticker", "y", *FEATURES))
+        return self.z.select("date", "ticker", "y", *FEATURES)
 
     @cached_property
     def model(self) -> research.StackedModel:
