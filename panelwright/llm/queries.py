@@ -45,7 +45,7 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages"), urls.PRODUCTION)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,9 @@ ORACLES: dict[str, str] = {
             for _, h, p in sorted(urls.HOSTS, key=lambda r: -len(r[1] + r[2]))) + """ END AS rule FROM u)
         SELECT page_id, host, path, rule, CASE """ + " ".join(
             f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in urls.HOSTS) + " " + " ".join(
-            f"WHEN regexp_matches(url, '{r.pattern}') THEN '{r.verdict}'"
-            for r in sorted(urls.RULES, key=lambda r: r.verdict)) + " ELSE 'allow' END AS verdict FROM fit",
+            f"WHEN regexp_matches(small, '{r.pattern}') THEN '{r.verdict}'"
+            for r in sorted(urls.PRODUCTION, key=lambda r: r.verdict)) + """ ELSE 'allow' END AS verdict
+        FROM (SELECT *, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small FROM fit)""",
     "op8_benchmark_decontamination": r"""WITH dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),

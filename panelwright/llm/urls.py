@@ -49,12 +49,44 @@ RULES = (
 )
 TOKEN = "[a-z0-9]+"
 
+# Words that a host label or a path segment of an unwanted page holds, by topic.
+TERMS = {
+    "gambling": "bet bets betting bingo blackjack bookmaker casino casinos gamble gambling jackpot lottery lotto poker roulette slot slots sportsbook wager",
+    "adult": "adult cams camgirls escort escorts fetish hentai hookup nsfw nude nudes porn porno sex sexy webcams xxx",
+    "drugs": "cialis levitra pill pills steroids tramadol viagra xanax",
+    "spam": "backlink backlinks clickbait doorway freebies giveaway linkfarm pbn prizes seo spam spammer sweepstakes winbig",
+    "advertising": "ads adserver adservice adtrack affiliate banner banners clickserve doubleclick popunder popup sponsored tracker tracking",
+    "fraud": "counterfeit crack cracked cracks keygen malware phish phishing ponzi ransomware replica replicas scam serials warez",
+    "lending": "bailout cashadvance fastcash loanshark payday paydayloan paydayloans",
+}
+# Phrases of pages about such topics that aren't such pages.
+ABOUT = ("adult-education", "adult-learning", "anti-spam", "responsible-gambling", "problem-gambling", "sex-education", "anti-phishing",
+         "malware-removal", "scam-alert", "seo-guide", "drug-safety")
+#: Words that in paths belong to ordinary pages too count in host labels alone.
+HOST_ONLY = frozenset("ads adult banner banners bet crack cracks pill pills popup prizes replica seo serials sex slot slots tracker tracking".split())
+
+
+def term_rules(terms: dict[str, str] = TERMS, about: Iterable[str] = ABOUT) -> tuple[Rule, ...]:
+    """A rule for each term in a host label, one for each in a path segment, and allow rules for the phrases; each has
+    its words as tokens, for they stand between characters that aren't letters or digits."""
+    out = []
+    for term in sorted({t for words in terms.values() for t in words.split()}):
+        out.append(Rule("block", rf"://([^/?#]*[^a-z0-9/?#])?{term}([^a-z0-9]|$)", (term,)))
+        if term not in HOST_ONLY:
+            out.append(Rule("block", rf"://[^/?#]*/([^?#]*[^a-z0-9?#])?{term}([^a-z0-9]|$)", (term,)))
+    return (*out, *(Rule("allow", rf"://[^?#]*[^a-z0-9?#]{phrase}([^a-z0-9]|$)", tuple(phrase.split("-"))) for phrase in about))
+
+
+#: The rules for whole tables: terms, and of RULES those that aren't about tracking parameters, which clean pages have too.
+PRODUCTION = (*term_rules(), *(r for r in RULES if not set(r.tokens) & {"utm", "ref"}))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SMALL = str.maketrans(_UPPER, _UPPER.lower())
+
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    small = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(small, F.lit(""))
+    return F.coalesce(F.translate(host, _UPPER, _UPPER.lower()), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -94,9 +126,9 @@ class Judge:
         self.tokens = re.compile(TOKEN)
 
     def verdict(self, url: str | None) -> str | None:
-        """Of the patterns that match; null if none does."""
-        said = None
-        for token in set(self.tokens.findall((url or "").lower())):
+        """Of the patterns that match the URL in lower case (A-Z); null if none does."""
+        said, url = None, (url or "").translate(_SMALL)
+        for token in set(self.tokens.findall(url)):
             for verdict, pattern in self.by_token.get(token, ()):
                 if said != verdict and pattern.search(url):
                     if verdict == "allow":
@@ -104,6 +136,29 @@ class Judge:
                     said = verdict
         return said
 
+    def matching(self, url: str | None) -> set[tuple[str, str]]:
+        """Verdict and pattern of every rule that matches."""
+        url = (url or "").translate(_SMALL)
+        fetched = (r for t in set(self.tokens.findall(url)) for r in self.by_token.get(t, ()))
+        return {(verdict, pattern.pattern) for verdict, pattern in fetched if pattern.search(url)}
+
+
+def hits(pages: DataFrame, rules: tuple[Rule, ...] = PRODUCTION) -> DataFrame:
+    """How many URLs each rule's pattern matches: verdict, pattern, n; rules that match none are left out."""
+    by_token = index(rules, frequencies(pages, rules))
+    urls = pages.select(F.col("url").cast("string").alias("url"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged, counts = Judge(by_token), {}
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                for found in judged.matching(url):
+                    counts[found] = counts.get(found, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in counts], pa.string()), pa.array([p for _, p in counts], pa.string()),
+                                          pa.array(list(counts.values()), pa.int64())], names=["verdict", "pattern", "n"])
+
+    return urls.mapInArrow(run, "verdict string, pattern string, n long").groupBy("verdict", "pattern").agg(F.sum("n").alias("n"))
+
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "page_id") -> DataFrame:
     """page_id, host, path, rule (the host rule) and verdict of every row."""
