@@ -2,8 +2,8 @@
 
 A window moves over each candidate; the counts of its characters, and with them its Shannon entropy, change by one
 character in and one out. Windows above their class's threshold join into a span. Windows that overlap a match of an
-allow-list pattern don't count, and spans that show too few kinds of characters, or that a base span overlaps, aren't
-added.
+allow-list pattern don't count, and spans that show too few kinds of characters, that read as joined words, or that a base
+span overlaps, aren't added.
 
 Defined cases: null texts count as empty and have no spans; a text of any length is scanned whole, with memory in
 proportion to its candidates; repeated rows keep a row each; an empty table gives an empty result. Positions are code
@@ -13,6 +13,7 @@ points. Other columns are ignored, or kept as they are by `mask`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from math import log2
 
@@ -78,6 +79,18 @@ def _open(string: str) -> Iterator[tuple[int, str]]:
         at = max(at, b)
 
 
+#: Mean length of the runs of lower-case letters from which a string of class entropy_base64 is words that are joined by
+#: capitals, digits or marks. Of random strings of that class it's 1.7, of identifiers and file names 4 or more.
+WORDY = 3.0
+_LOWER = re.compile("[a-z]+")
+
+
+def wordy(kind: str, string: str) -> bool:
+    """Whether a dense string reads as joined words: camel case, dated file names, paths."""
+    runs = _LOWER.findall(string) if kind == "entropy_base64" else ()
+    return sum(map(len, runs)) >= WORDY * len(runs) > 0
+
+
 _MIXED = {k: [re.compile(p) for p in v] for k, v in MIXED.items()}
 
 
@@ -92,10 +105,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class Taken:
+    """Places of a text that spans cover: starts and ends of disjoint stretches in order, so a look-up is a bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Covers a stretch and says so, unless some of it is covered already."""
+        at = bisect_left(self.starts, b)
+        if at and self.ends[at - 1] > a:
+            return False
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+        return True
+
+
 def spans_of(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start and then kind as in KINDS."""
     found = base_spans(text)
-    taken = [(a, b) for a, b, _ in found]
+    taken = Taken((a, b) for a, b, _ in found)
     for kind, (pattern, least) in CLASSES.items():
         for m in pattern.finditer(text):
             if not _MIXED[kind][0].search(m[0]):
@@ -103,9 +138,8 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
             for at, string in _open(m[0]):
                 for a, b in dense(string, least):
                     a, b = m.start() + at + a, m.start() + at + b
-                    if all(p.search(text, a, b) for p in _MIXED[kind]) and not any(a < y and x < b for x, y in taken):
+                    if all(p.search(text, a, b) for p in _MIXED[kind]) and not wordy(kind, text[a:b]) and taken.add(a, b):
                         found.append((a, b, kind))
-                        taken.append((a, b))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
