@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from panelwright.functions import rolling as rl, sizing
-from panelwright.operators import features as ft
+from panelwright.operators import falsify, features as ft
 from panelwright.plans import catalog
 from panelwright.sources import bars as bs
 
@@ -53,3 +53,14 @@ def test_generated_methods_stay_compiled(spark, sf):
         assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= sizing.JIT_BYTES
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", own)
+
+
+def test_permutation_does_not_depend_on_the_split(spark, monkeypatch):
+    """One group a date while a task can number it; more digits only as dates grow, with the same labels."""
+    days = pd.bdate_range("2024-01-01", periods=4)
+    panel = spark.createDataFrame([(d.date(), f"T{i}", float(i)) for d in days for i in range(90)], "date date, ticker string, y double")
+    assert falsify.prefix_digits(panel) == 0 == falsify.prefix_digits(panel.limit(0))
+    drawn = [sorted(map(tuple, falsify.permute_labels(panel, 7, n).collect())) for n in (0, 1, 3)]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) == 360
+    monkeypatch.setattr(falsify, "PREFIX_ROWS", 3)
+    assert falsify.prefix_digits(panel) == 2
