@@ -9,9 +9,11 @@ sets, so that a pair which isn't is never linked. SimHash's two bits reach few p
 Every bucket has two representatives, drawn by a hash of bucket and member, so that a text meets other ones in each of
 its buckets. It is compared with the one whose sketch is nearest first, then with those others that lie in
 another component. What these links leave outside of a bucket's largest component is last compared with all its members,
-in pieces of PIECE by PIECE members, of which a task holds one at a time and gives out only pairs of different components
-whose sketches and sizes allow a similarity of 0.8. So a group of many copies costs its size, one with stragglers its size
-times their number, and no pairs of a bucket are written out. Of a group, links to representatives and the membership are kept.
+in pieces of PIECE by PIECE members, of which a task holds one at a time. A piece gives out which components are bound by
+pairs whose sketches and sizes allow a similarity of 0.8, each binding but those that follow from others: fewer rows than it
+has members. What is bound together is dealt into such pieces once more, now with the whole sets, and a piece gives out
+the similar pairs that join components. So a group of many copies costs its size, one with stragglers its size
+times their number, and no pairs of a group are written out. Of a group, links to representatives and the membership are kept.
 
 Texts are told apart by their SHA-256; distinct ones get a number, by which they are joined.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +83,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, digest binary, fp long, size long, keys array<long>, low binary")
 
 
-def _lows(column: pa.Array) -> np.ndarray:
+def _lows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
 
 
@@ -91,22 +94,60 @@ def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(agree)], names=["a", "b", "agree"]).filter(pa.array(agree >= AGREE))
 
 
+def _close(out: pa.Table, every: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `out` and `every` (id, root, size, apart, low) of the pairs of different components whose sketches and sizes
+    allow a similarity of 0.8, nearest first. Two members that are both apart meet in one of their two pieces."""
+    (ida, ra, na), (idb, rb, nb) = ([t.column(k).to_numpy() for k in ("id", "root", "size")] for t in (out, every))
+    a, b = _lows(out.column("low")), _lows(every.column("low"))
+    once = (ida[:, None] < idb[None, :]) | ~every.column("apart").to_numpy()[None, :]
+    i, j = np.nonzero((ra[:, None] != rb[None, :]) & once & (5 * na[:, None] >= 4 * nb[None, :]) & (5 * nb[None, :] >= 4 * na[:, None]))
+    agree = np.array([n for at in range(0, len(i), 1 << 14) for n in (a[i[at:at + (1 << 14)]] == b[j[at:at + (1 << 14)]]).sum(axis=1)], np.int64)
+    order = np.argsort(-agree, kind="stable")
+    order = order[agree[order] >= AGREE]
+    return i[order], j[order]
+
+
+def _top(tops: dict[int, int], x: int) -> int:
+    while (up := tops.setdefault(x, x)) != x:
+        tops[x] = x = tops.setdefault(up, up)
+    return x
+
+
 def _crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components of one piece: rows of out, all (lists of id, root, size, low)."""
+    """Pairs of components that likely pairs of one piece bind, but for those that earlier ones have bound: rows of out, every."""
     for batch in batches:
-        for row in batch.to_pylist():
-            (ida, ra, na, la), (idb, rb, nb, lb) = (
-                (*(np.array([m[k] for m in row[side]], np.int64) for k in ("id", "root", "size")), [m["low"] for m in row[side]]) for side in ("out", "every"))
-            a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, FUNCTIONS) for x in (la, lb))
-            fit = (ra[:, None] != rb[None, :]) & (5 * na[:, None] >= 4 * nb[None, :]) & (5 * nb[None, :] >= 4 * na[:, None])
-            i, j = np.nonzero(fit)
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                agree = (a[x] == b[y]).sum(axis=1)
-                near = agree >= AGREE
-                low, high = np.minimum(ida[x[near]], idb[y[near]]), np.maximum(ida[x[near]], idb[y[near]])
-                if len(low):
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(agree[near])], names=["a", "b", "agree"])
+        for row in range(batch.num_rows):
+            out, every = (pa.Table.from_struct_array(batch.column(k)[row].values) for k in (0, 1))
+            if not (out.num_rows and every.num_rows):
+                continue
+            (i, j), tops, bound = _close(out, every), {}, []
+            for a, b in zip(out.column("root").to_numpy()[i].tolist(), every.column("root").to_numpy()[j].tolist()):
+                if (x := _top(tops, a)) != (y := _top(tops, b)):
+                    tops[x] = y
+                    bound.append((a, b))
+            if bound:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*bound)], names=["a", "b"])
+
+
+def _verified(rows: pa.Table) -> pa.Table:
+    """Similar pairs of one piece, counted on the whole sets, but for those whose texts earlier ones have joined."""
+    out, every = (rows.filter(x) for x in (rows.column("out"), pc.invert(rows.column("out"))))
+    links = []
+    if out.num_rows and every.num_rows:
+        (i, j), tops = _close(out, every), {}
+        sets = [[x.values.to_numpy() for x in t.column("shingles")] for t in (out, every)]
+        (ida, ra), (idb, rb) = ([t.column(k).to_pylist() for k in ("id", "root")] for t in (out, every))
+        for m, n in zip(i.tolist(), j.tolist()):
+            x, y = _top(tops, ra[m]), _top(tops, rb[n])
+            if x != y and _alike(sets[0][m], sets[1][n]):
+                tops[x] = y
+                links.append((min(ida[m], idb[n]), max(ida[m], idb[n])))
+    return pa.table([pa.array(x, pa.int64()) for x in (zip(*links) if links else ((), ()))], names=["a", "b"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * shared >= 4 * (len(a) + len(b))
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -144,48 +185,70 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("end", "other").alias("a"), F.greatest("end", "other").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, found: DataFrame | None, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """`found` and the similar ones of `pairs` (a, b, agree), but for those whose texts other links have joined already.
+def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The similar ones of `pairs` (a, b, agree), but for those whose texts other links have joined already.
 
     Of every text the nearest pair is counted first; what still lies in different components then is counted after it.
     """
     first = cut(_nearest(pairs))
-    new = similar(first, distinct, docs, words)
-    found = new if found is None else found.unionByName(new)
+    found = similar(first, distinct, docs, words)
     rest = cut(_apart(pairs.join(first, ["a", "b"], "left_anti"), cut(simhash.components(found))))
     return found if rest.isEmpty() else found.unionByName(similar(rest, distinct, docs, words))
 
 
-def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs a, b of numbered texts with a similarity of 0.8 or more. `pairs` is read twice: cut it before."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "digest"), "id")
+def shingled(ids: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """id and the whole shingle set of the numbered texts in `ids` (id)."""
+    named = ids.join(distinct.select("id", "digest"), "id")
     texts = docs.select(F.unhex(F.sha2(utf8_of(), 256)).alias("digest"), utf8_of().alias("utf8"))
     texts = texts.join(named, "digest").dropDuplicates(["id"]).select("id", "utf8")
-    sets = cut(texts.mapInArrow(lambda batches: _sets(batches, words), "id long, shingles array<long>"))
+    return cut(texts.mapInArrow(lambda batches: _sets(batches, words), "id long, shingles array<long>"))
+
+
+def similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs a, b of numbered texts with a similarity of 0.8 or more. `pairs` is read twice: cut it before."""
+    sets = shingled(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), distinct, docs, words)
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     # shared / (all - shared) >= 4 / 5
     return cut(_beside(pairs, sets, "shingles").where(9 * shared >= 4 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b"))
 
 
-def _pieces(members: DataFrame, roots: DataFrame, distinct: DataFrame) -> DataFrame:
-    """For each bucket with several components, those outside of its largest one (out) beside all members (every), in pieces."""
+def _pieces(members: DataFrame, roots: DataFrame, values: DataFrame) -> DataFrame:
+    """For each key of `members` (key, id) with several components, those outside of its largest one (out) beside all members,
+    in pieces (key, o, m), with the columns of `values` (id, ...)."""
     rooted = cut(members.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select(
         "key", "id", F.coalesce("root", "id").alias("root")))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     apart = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
     deal = apart.select("key", "main", F.ceil((F.col("all") - F.col("most")) / PIECE).cast("int").alias("outs"), F.ceil(F.col("all") / PIECE).cast("int").alias("alls"))
-    rows = rooted.join(deal, "key").join(distinct.select("id", "size", "low"), "id")
-    own = F.struct("id", "root", "size", "low")
+    rows = rooted.join(deal, "key").withColumn("apart", F.col("root") != F.col("main")).join(values, "id")
+    own = ["id", "root", "apart", *(c for c in values.columns if c != "id")]
 
     def dealt(by: str, across: str) -> tuple:
         return F.pmod(F.xxhash64("id"), by).cast("int"), F.explode(F.sequence(F.lit(0), F.col(across) - 1))
 
     at, over = dealt("outs", "alls")
-    out = rows.where("root != main").select("key", at.alias("o"), over.alias("m"), own.alias("out"), F.lit(None).cast(
-        "struct<id:bigint,root:bigint,size:bigint,low:binary>").alias("every"))
+    out = rows.where("apart").select("key", at.alias("o"), over.alias("m"), F.lit(True).alias("out"), *own)
     at, over = dealt("alls", "outs")
-    every = rows.select("key", at.alias("m"), over.alias("o"), F.lit(None).cast("struct<id:bigint,root:bigint,size:bigint,low:binary>").alias("out"), own.alias("every"))
-    return out.unionByName(every).groupBy("key", "o", "m").agg(F.collect_list("out").alias("out"), F.collect_list("every").alias("every")).select("out", "every")
+    return out.unionByName(rows.select("key", at.alias("m"), over.alias("o"), F.lit(False).alias("out"), *own))
+
+
+def across(members: DataFrame, found: DataFrame, distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Links between the components that `found` makes of the members of a bucket (key, id).
+
+    Pieces of the buckets tell which components likely pairs bind; of what is bound together, pieces then count whole sets.
+    """
+    own, sketched = cut(simhash.components(found)), distinct.select("id", "size", "low")
+    at = F.struct("id", "root", "size", "apart", "low")
+    pieces = _pieces(members, own, sketched).groupBy("key", "o", "m").agg(
+        F.collect_list(F.when(F.col("out"), at)).alias("out"), F.collect_list(F.when(~F.col("out"), at)).alias("every"))
+    bound = cut(pieces.select("out", "every").mapInArrow(_crossed, "a long, b long").distinct())
+    if bound.isEmpty():
+        return bound
+    wide = simhash.components(bound).select(F.col("node").alias("bound"), F.col("root").alias("key"))
+    rooted = distinct.select("id").join(own, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("bound"))
+    within = cut(rooted.join(wide, "bound").select("key", "id"))
+    values = sketched.join(shingled(within.select("id"), distinct, docs, words), "id")
+    return cut(_pieces(within, own, values).groupBy("key", "o", "m").applyInArrow(_verified, "a long, b long"))
 
 
 def groups(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -206,11 +269,8 @@ def groups(docs: DataFrame, words: int = 5) -> DataFrame:
         pairs = pairs.unionByName(members.where(F.col("id") != F.col(drawn)).select(F.col(drawn).alias("a"), F.col("id").alias("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = cut(likely(pairs, distinct))
-    found = confirmed(tried, None, distinct, docs, words)
-    pieces = _pieces(members, cut(simhash.components(found)), distinct)
-    left = cut(pieces.mapInArrow(_crossed, "a long, b long, agree long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        found = confirmed(left, found, distinct, docs, words)
+    found = confirmed(tried, distinct, docs, words)
+    found = found.unionByName(across(members, found, distinct, docs, words))
     roots = cut(simhash.components(found))
     named = distinct.select("digest", "id").join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
     return rows.select("doc_id", "digest").join(named, "digest")

@@ -3,6 +3,8 @@
 import collections
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -87,6 +89,37 @@ def test_no_pair_of_a_large_group_is_lost(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_a_piece_gives_out_fewer_rows_than_members():
+    """All pairs of a piece are likely ones: what binds them is given out, not their number squared."""
+    low = np.random.default_rng(1).integers(0, 256, near.FUNCTIONS, np.uint8).tobytes()
+    sides = [[{"id": i, "root": i, "size": 50, "apart": True, "low": low} for i in range(a, b)] for a, b in ((0, 60), (0, 90))]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("root", pa.int64()), ("size", pa.int64()), ("apart", pa.bool_()), ("low", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([x], kind) for x in sides], names=["out", "every"])
+    bound = [(r["a"], r["b"]) for part in near._crossed([batch]) for r in part.to_pylist()]
+    assert len(bound) == 89
+    assert {x for pair in bound for x in pair} == set(range(90))
+
+
+def test_pairs_of_a_group_that_is_not_similar_are_left_apart(spark):
+    """Copies of one text at about 0.6 to one another, among them few that are near."""
+    rng = random.Random(9)
+    base, texts = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)], []
+    for _ in range(150):
+        own = list(base)
+        for k in rng.sample(range(150), 6):
+            own[k] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(own))
+    roots, pairs = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in near.groups(docs).collect():
+        found[r["root"]].add(r["doc_id"])
+    expected = collections.defaultdict(set)
+    for i, r in enumerate(roots):
+        expected[r].add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_the_stage_keeps_one_of_each_group(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
