@@ -50,3 +50,35 @@ def test_folds_keep_and_move_no_rows_of_the_panels_width(spark, feats, monkeypat
     assert all("BroadcastHashJoin" in _plan(t) and "LeftSemi" in _plan(t) and "SortMergeJoin" not in _plan(t).split("LeftSemi")[0] for t in trained)
     val = z.join(roles.where("role = 'val'").select("date"), "date")
     assert rows.count() == val.count() and rows.where(F.col("rf").isNull()).isEmpty()
+
+
+def test_histograms_and_nodes_equal_a_walk_row_by_row():
+    """Nodes from a batch's flat bins, and a tree's histograms at a level where one branch has ended."""
+    import numpy as np
+    import pyarrow as pa
+    from panelwright.operators import forests
+
+    rng, n, width, k = np.random.default_rng(5), 300, len(forests.FEATURES), 4
+    bins, ys, days = rng.integers(0, forests.BINS, (n, width)).astype(np.int8), rng.integers(-4, 5, n) / 4.0, rng.integers(0, 9, n).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel())) for a in (ys[:, None], bins)]
+    batch = pa.RecordBatch.from_arrays([pa.array(days), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(rng.integers(0, 1 << 62, n)), *lists],
+                                       names=["day", "since", "until", "draw", "ys", "bins"])
+    trees = forests.Trees.none(1, 1, 3)
+    trees.feature[0, 0, [0, 1]], trees.cut[0, 0, [0, 1]] = [7, 3], [15, 9]
+    nodes, weights = [3, 4], rng.integers(0, 4, n).astype(float)
+    features = np.array([[0, 3, 7, 20], [1, 2, 30, width - 1]])
+    unit = forests._Unit(0, 0, nodes, features)
+    made = list(forests._histograms([batch], [forests.Fit(0, 0, 6)], [unit], trees, 2, lambda b, tree: weights, lambda b, model, own: b.ys[own, 0]))
+    found = np.frombuffer(made[0].column(1)[0].as_py()).reshape(2, 2, k, forests.BINS)
+    expected, reached = np.zeros_like(found), []
+    for i in range(n):
+        node = 0
+        for _ in range(2):
+            f = trees.feature[0, 0, node]
+            node = node if f < 0 else 2 * node + 1 + int(bins[i, f] > trees.cut[0, 0, node])
+        reached.append(node)
+        if node in nodes and days[i] < 6:
+            for j, f in enumerate(features[nodes.index(node)]):
+                expected[:, nodes.index(node), j, bins[i, f]] += weights[i], weights[i] * ys[i]
+    assert (found == expected).all() and found[0].sum() > 0
+    assert forests._nodes(bins.ravel(), np.arange(n) * width, trees.feature[0, 0], trees.cut[0, 0], 2).tolist() == reached
