@@ -32,6 +32,8 @@ BITS = 64
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory for its hashes.
 BLOCK = 1 << 16
+#: Edges of a partition while components are looked for, about.
+EDGES = 100_000
 
 
 def shingles(text: bytes, words: int = 3) -> Iterator[np.ndarray]:
@@ -123,20 +125,22 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of `edges` (a, b): root is the least node that can be reached.
 
     Stars by turns: every node hands its larger neighbours to the least of its neighbours, then its smaller ones, until
-    nothing changes. A round is an aggregate and a join for each; rounds grow with the logarithm of the longest path.
+    nothing changes. A round is an aggregate and a join for each; rounds grow with the logarithm of the longest path. Edges
+    are held in as many partitions as their number asks for, since every task leaves files, however little it holds.
     """
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    seen = None
+    held, seen = now.count() // EDGES + 1, None
+    now = now.coalesce(held)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both).withColumn("m", F.least("u", "m")), "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(held)
         down = least(large)
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            down.select("u", F.col("m").alias("v"))).distinct()
+            down.select("u", F.col("m").alias("v"))).distinct().coalesce(held)
         now = cut(small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from panelwright.llm import near
+from panelwright.llm import near, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +126,25 @@ def test_the_stage_keeps_one_of_each_group(spark):
     roots, _ = brute([t for _, t in rows])
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert kept == {rows[r][0] for r in roots}
+
+
+def test_components_hold_few_edges_in_few_partitions(spark, monkeypatch):
+    """Every task leaves files: rounds over a few edges don't go over all shuffle partitions."""
+    held = []
+
+    def cut(df, kept=simhash.cut):
+        held.append(df.rdd.getNumPartitions())
+        return kept(df)
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8], "a long, b long"))
+        assert {r["node"]: r["root"] for r in found.collect()} == {i: (i - 1) // 8 * 8 + 1 for i in range(1, 41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(held) > 2 and max(held[1:]) == 1
