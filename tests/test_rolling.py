@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelwright.functions import rolling as rl, sizing
@@ -37,6 +38,40 @@ def test_indicators_need_no_stack_of_windows(spark):
     assert "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 1
 
 
+def test_tickers_side_by_side_have_the_values_they_have_alone():
+    rng = np.random.default_rng(7)
+    long, short = rng.normal(size=1300) + 5, rng.normal(size=300) + 5
+    both = np.full((2, 1300), np.nan)
+    both[0], both[1, :300] = long, short
+    side = ft._rolled(*[both] * 4, 21)
+    for k, x in enumerate((long, short)):
+        for name, alone in ft._rolled(*[x] * 4, 21).items():
+            assert np.array_equal(side[name][k, :len(x)], alone, equal_nan=True), name
+
+
+def test_batches_are_cut_between_tickers():
+    names = ["A"] * 3 + ["B"] * 9 + ["C"] + [None] * 2
+    rows = pa.table({"ticker": names, "n": range(len(names))})
+    for size in (1, 2, 4, 5, 100):
+        found = list(ft.whole_tickers(rows.to_batches(size)))
+        assert [int(n) for _, sizes in found for n in sizes] == [3, 9, 1, 2]
+        assert pa.concat_tables([t for t, _ in found]).equals(rows) and all(t.num_rows == sizes.sum() for t, sizes in found)
+    assert list(ft.whole_tickers([])) == []
+
+
+def test_features_are_stored_where_they_are_made(spark, supplier_bars, feats):
+    """Neither a window nor a second exchange follows the pass, and only complete rows leave it, as counted by Spark."""
+    made = ft.features(spark.createDataFrame([], bs.BAR_SCHEMA))._jdf.queryExecution()
+    before_rows = made.executedPlan().toString().split("MapInArrow")[0]
+    assert "Window" not in made.optimizedPlan().toString() and "Exchange" not in before_rows
+    whole = ft.indicator_rows(supplier_bars).where(" AND ".join(f"{f} IS NOT NULL" for f in ft.FEATURES))
+    n = whole.groupBy("ticker").agg(F.count("*").alias("n_rows")).where("n_rows > 100")
+    want = whole.join(n, "ticker").select("ticker", "date", "bar_no", *[F.col(f).cast("float").alias(f) for f in ft.FEATURES], "y", "label_end", "n_rows")
+    got = feats.select(*want.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    assert feats.groupBy("ticker", "n_rows").agg(F.max("row_no").alias("top"), F.count("*").alias("n")).where("top <> n_rows OR n <> n_rows").count() == 0
+
+
 def test_zero_prices_leave_gaps(spark):
     days = pd.bdate_range("2020-01-01", periods=300)
     rows = [("T", d.date(), p, p, p, p, 10) for i, d in enumerate(days) for p in [0.0 if i == 200 else 1.0 + i % 7]]
