@@ -139,3 +139,19 @@ def test_votes(spark):
         ensemble.vote_std(F.col("v")).alias("s"), ensemble.vote_percentile(F.col("v"), 90.0).alias("p")).first()
     assert row["s"] == pytest.approx(np.std([3, 1, 2, 10]))
     assert row["p"] == pytest.approx(np.percentile([3, 1, 2, 10], 90))
+
+
+def test_day_statistics_do_not_depend_on_the_split(spark):
+    """Counts, means and deviations are combined from parts of a day, without NULLs and without a row of Spark's per value."""
+    rows = [(None if i % 11 == 0 else i % 3, 1e6 + (i * 37 % 101) / 7, None if i % 5 == 0 else float(i)) for i in range(400)] + [(9, 4.0, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    want = {r["g"]: tuple(r)[1:] for r in df.groupBy("g").agg(F.avg("a"), F.avg("b"), F.stddev_samp("a"), F.stddev_samp("b")).collect()}
+    for parts in (1, 7):
+        stats = pn.cross_section_stats(df.repartition(parts), "g", ["a", "b"])
+        got = {r["g"]: (r["a__m"], r["b__m"], r["a__s"], r["b__s"]) for r in stats.collect()}
+        assert got.keys() == want.keys()
+        for g, values in want.items():
+            assert [x is None for x in got[g]] == [x is None for x in values]
+            assert all(x is None or abs(x - y) < 1e-9 * abs(y) for x, y in zip(got[g], values))
+    assert "MapInArrow" in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert pn.cross_section_stats(df.limit(0), "g", ["a"]).collect() == []
